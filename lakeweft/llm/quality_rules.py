@@ -17,8 +17,11 @@ from lakeweft.llm import textstats as ts
 from lakeweft.llm.common import map_texts, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Distances beyond which a text is rejected, and the least characters and words for judging.
-CLASS_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS = 0.30, 0.60, 200, 40
+#: A distance counts against a text of n words if it is over floor + slack / sqrt(n): counts of a
+#: short text scatter about the reference with the inverse root of its length.
+CLASS_FLOOR, CLASS_SLACK, WORD_FLOOR, WORD_SLACK = 0.16, 1.2, 0.15, 2.5
+#: Texts of fewer words are never judged by distance.
+LEAST_WORDS = 40
 _NC, _NW = len(ts.CLASSES), len(ts.WORDS) + 1
 
 
@@ -104,5 +107,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     judged = joined.select(*names, "classes", "commons", "ref_classes", "ref_commons").mapInArrow(judge, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]) + ", class_distance double, word_distance double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    far = ((F.col("word_chars") >= LEAST_CHARS) & (F.col("class_distance") > CLASS_LIMIT)) | ((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > WORD_LIMIT))
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
+    far = (F.col("n_words") >= LEAST_WORDS) & ((F.col("class_distance") > CLASS_FLOOR + CLASS_SLACK / root) | (F.col("word_distance") > WORD_FLOOR + WORD_SLACK / root))
     return judged.select(*names, failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance")

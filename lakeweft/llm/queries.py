@@ -49,6 +49,25 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeweft.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeweft.llm.quality_classifier import quality_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeweft.llm.media_columns import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
