@@ -85,7 +85,7 @@ def _lines(texts: list[str]) -> dict:
             if len(w) >= LEAST_WORDS:
                 words.append(w)
                 where.append((i, k))
-    fps = line_fingerprints(words).view(np.int64)
+    fps = line_fingerprints([list(set(w)) for w in words]).view(np.int64)
     joined = [" ".join(w) for w in words]
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in joined), np.uint64, len(joined)).view(np.int64)
     per_text = np.bincount(np.fromiter((i for i, _ in where), np.int64, len(where)), minlength=len(texts)) if texts else np.empty(0, np.int64)
