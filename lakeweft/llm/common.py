@@ -15,7 +15,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,20 @@ def drop_written(df: DataFrame) -> None:
     remove(df.sparkSession, df._lakeweft_path)
 
 
+#: Texts are handed to an operator in slices of about this many bytes, at least one text each.
+SLICE_BYTES = 2 << 20
+
+
+def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE_BYTES of text, so that word lists of a whole batch never exist at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
@@ -82,7 +98,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict], schema: str, keep:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(out)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, "__text")):
             made = fn(texts_of(batch, "__text"))
             columns = [batch.column(i).cast(target.field(i).type) for i in range(len(keep))]
             for n in names:
