@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeweft.plans import features, relational
+from lakeweft.plans.kit import Query
+
+_PARTS = (relational, features)
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    out: dict = {}
+    for part in _PARTS:
+        out |= part.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict = {}
+    for part in _PARTS:
+        out |= part.oracle_sql()
+    return out
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.queries()["q5_wide_join"](spark, folder)
