@@ -18,7 +18,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Words of more parts than this are merged with a heap, as rescanning would take the square of the length.
 SHORT = 64
 #: Pieces remembered per worker; the memo starts anew when it is full.
-MEMO = 400_000
+MEMO = 700_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -154,18 +154,39 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+#: Marks that form one pre-token of their own behind a word of letters.
+MARKS = ".,;:!?#*$%&"
+
+
+def word_and_marks(piece: str) -> tuple[str, str] | None:
+    """(word, marks) if the piece is a word of letters, after one space or none, with marks behind it.
+
+    Its tokens are then those of the word and those of the marks.
+    """
+    word = piece.rstrip(MARKS)
+    if len(word) < len(piece) and (word[1:] if word[:1] == " " else word).isalpha():
+        return word, piece[len(word) :]
+    return None
+
+
 class Memo(dict):
-    """A bounded memo: a missing piece is computed; a full memo starts anew."""
+    """A bounded memo of two generations: a missing key is looked up in the older one, then computed.
+
+    When the younger is full it becomes the older, so keys in use survive.
+    """
 
     def __init__(self, make, size: int = MEMO):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.older = make, size // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.size:
-            self.clear()
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) < 200:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
             self[key] = value
         return value
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweft.llm.bpe import Memo
+from lakeweft.llm.bpe import Memo, word_and_marks
 from lakeweft.llm.common import map_texts, written
 
 CAPACITY = 4096
@@ -42,9 +42,16 @@ def _tokenizer(path: str):
     encode = tok.encode
 
     def make(chunk: str) -> bytes:
+        two = word_and_marks(chunk)
+        if two and "\u0130" not in chunk:  # whose lower case ends in a mark, which isn't a letter
+            return memo[two[0]] + memo[two[1]]
+        # the vocabulary is lower case; up to U+00FF a letter's lower case is one letter whatever its context
+        if not chunk.islower() and chunk.isalpha() and max(chunk) <= "\xff":
+            return memo[chunk.lower()]
         return array("I", encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    return tok, Memo(make, 500_000)
+    memo = Memo(make, 1_200_000)
+    return tok, memo
 
 
 #: What ``str.split`` takes for white space and the tokenizer doesn't.
