@@ -96,5 +96,5 @@ def in_value(left: DataFrame, probe: Column, right: DataFrame, element: str, nam
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
     """Equality join with a hot key of ``big`` spread over ``salts`` tasks; ``small`` is repeated as often."""
     left = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return left.join(right, [key, "__salt"], how).drop("__salt")

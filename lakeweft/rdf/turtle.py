@@ -179,7 +179,7 @@ def load_turtle(spark: SparkSession, path: str, base: str = "") -> DataFrame:
 
     from pyspark.sql import functions as F
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("name"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value")
     return files.mapInArrow(read, SCHEMA).distinct()
 
 

@@ -71,7 +71,7 @@ def load_json_lines(spark: SparkSession, path: str, table: str | None = None, sc
     if table is None:
         lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.col("value").alias("line"))
     else:
-        lines = spark.read.option("wholetext", True).text(path).mapInArrow(owned, "line string")
+        lines = spark.read.text(path, wholetext=True).mapInArrow(owned, "line string")
     if schema is None:
         first = lines.limit(1).collect()
         if not first:
@@ -93,7 +93,7 @@ def _any_kind(value: object) -> str:
 
 def load(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Lines of files, or whole files; gzip is read by its extension."""
-    return spark.read.option("wholetext", whole).text(path)
+    return spark.read.text(path, wholetext=whole)
 
 
 def stream_string(spark: SparkSession, text: str) -> DataFrame:
