@@ -22,6 +22,9 @@ def _counter(path: str):
     whole, merge_word, pretokens = model.whole, model.merge_word, model.pretokens
 
     def count_piece(piece: str) -> int:
+        two = bpe.word_and_marks(piece)
+        if two:
+            return memo[two[0]] + memo[two[1]]
         n = 0
         for token in pretokens(piece):
             raw = token.encode()
