@@ -21,10 +21,15 @@ def _memo(path: str) -> bpe.Memo:
     model = bpe.load(path)
 
     def make(piece: str) -> tuple[int, str, bytes]:
+        two = bpe.word_and_marks(piece)
+        if two:
+            (n, ids, raw), (k, more, tail) = memo[two[0]], memo[two[1]]
+            return n + k, f"{ids},{more}", raw + tail
         ids = model.encode_piece(piece)
         return len(ids), ",".join(map(str, ids)), b"".join(map(model.bytes_of.__getitem__, ids))
 
-    return bpe.Memo(make)
+    memo = bpe.Memo(make)
+    return memo
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
