@@ -63,6 +63,14 @@ def drop_written(df: DataFrame) -> None:
     remove(df.sparkSession, df._lakeweft_path)
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """A column name that isn't taken, whatever the case of letters."""
+    low, name = {t.lower() for t in taken}, f"__{base}"
+    while name in low:
+        name += "_"
+    return name
+
+
 #: Texts are handed to an operator in slices of about this many bytes, at least one text each.
 SLICE_BYTES = 2 << 20
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import map_texts, written
+from lakeweft.llm.common import free_name, map_texts, written
 
 #: The base patterns and their least lengths.
 ASSIGN = regex.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", regex.IGNORECASE | regex.ASCII)
@@ -138,18 +138,18 @@ def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS, mark: str = "[SECRET
 
     Rows that share an id are told apart by their text; rows of null id are masked too.
     """
-    found = secret_scan(docs, max_owners).where(F.size("redact") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), "base_sha256", "spans", "redact")
-    spots = found.groupBy("__id").agg(F.array_distinct(F.flatten(F.collect_set("redact"))).alias("__spots"), F.count("*").alias("__rows"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    joined = keyed.join(spots, "__id", "left")
     names = docs.columns
+    key, held = free_name("id", names), free_name("spots", names)
+    found = secret_scan(docs, max_owners).where(F.size("redact") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), "redact")
+    spots = found.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("redact"))).alias(held))
+    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(spots, key, "left")
 
     def mask(batches):
         import pyarrow as pa
 
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, spots in enumerate(b.column("__spots").to_pylist()):
+            for i, spots in enumerate(b.column(held).to_pylist()):
                 if spots and texts[i]:
                     # spans of other rows under the same id don't count here
                     own = {(s[0], s[1]) for s in [*base_spans(texts[i]), *more_spans(texts[i])]}
@@ -161,4 +161,4 @@ def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS, mark: str = "[SECRET
                     texts[i] = "".join(parts) + texts[i][at:]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names)
 
-    return joined.select(*names, "__spots").mapInArrow(mask, docs.schema)
+    return joined.select(*names, held).mapInArrow(mask, docs.schema)

@@ -98,8 +98,8 @@ def _connect(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(links_a), np.concatenate(links_b)) if links_a else (none, none)
 
 
-def _runs(batches, columns: list[str]):
-    """Arrays of whole runs of equal leading columns from sorted batches; a run over BLOCK rows comes in parts.
+def _runs(batches, columns: list[str], block: int = BLOCK):
+    """Arrays of whole runs of equal leading columns from sorted batches; a run over ``block`` rows comes in parts.
 
     Yields (columns, oversize): oversize parts all belong to one run.
     """
@@ -123,7 +123,7 @@ def _runs(batches, columns: list[str]):
             if start:
                 yield [c[:start] for c in cols], False
                 cols = [c[start:] for c in cols]
-            if len(cols[0]) > BLOCK:
+            if len(cols[0]) > block:
                 over = cols[0][0]
                 continue
             held = cols
@@ -132,7 +132,7 @@ def _runs(batches, columns: list[str]):
         yield held, False
 
 
-def _compare(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _compare(key: np.ndarray, fp: np.ndarray, bits: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Verified links of the runs of equal keys in ``key``."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[starts, len(key)])
@@ -147,10 +147,10 @@ def _compare(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
         a.append(fp[i])
         b.append(fp[i + off])
     for s, n in zip(starts[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
-        if n <= BLOCK:
+        if n <= block:
             x, y = _connect(fp[s : s + n], bits)
         else:
-            parts = [fp[s + i : s + i + BLOCK] for i in range(0, n, BLOCK)]
+            parts = [fp[s + i : s + i + block] for i in range(0, n, block)]
             pairs = [_connect(np.concatenate([parts[i], parts[j]]), bits) for i, j in itertools.combinations(range(len(parts)), 2)]
             x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         a.append(x)
@@ -163,15 +163,15 @@ def _compare(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
 LINK_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
 
 
-def _linker(bits: int):
+def _linker(bits: int, block: int = BLOCK):
     def run(batches):
         kept_a, kept_b, n = [], [], 0
-        for (key, fp), oversize in _runs(batches, ["key", "fp"]):
+        for (key, fp), oversize in _runs(batches, ["key", "fp"], block):
             if oversize:
                 none = pa.nulls(len(key), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(fp), none, pa.array(key)], schema=LINK_SCHEMA)
                 continue
-            a, b = _compare(key, fp.view(np.uint64), bits)
+            a, b = _compare(key, fp.view(np.uint64), bits, block)
             kept_a.append(a.view(np.int64))
             kept_b.append(b.view(np.int64))
             n += len(a)
@@ -196,12 +196,12 @@ def _expander(batches):
             yield pa.RecordBatch.from_arrays([pa.array(variant_keys(part.view(np.uint64)).ravel()), pa.array(np.repeat(part, 64))], ["key", "fp"])
 
 
-def links(keyed: DataFrame, bits: int) -> DataFrame:
+def links(keyed: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     """(u, v): links between distinct fingerprints that share a key, enough to connect what is connected."""
-    first = written(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits), "u long, v long, key long"), "links")
+    first = written(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits, block), "u long, v long, key long"), "links")
     out = first.where("key is null").select("u", "v")
     large = first.where("key is not null").select("key", F.col("u").alias("fp"))
-    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(max(1, block // 2))).cast("int").alias("blocks"))
     if sizes.isEmpty():
         return out
     blocked = large.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -238,7 +238,7 @@ def _pair_linker(bits: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, words_each: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = 4, words_each: int = 4, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
     ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the smallest doc_id that
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_each: int = 4) -> Data
         raise ValueError("three segments with one wildcard each find at most 5 differing bits")
     marked = written(fingerprints(docs, words_each), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    found = components(links(distinct.select("fp").mapInArrow(_expander, "key long, fp long"), bits))
+    found = components(links(distinct.select("fp").mapInArrow(_expander, "key long, fp long"), bits, block))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = rooted.join(lowest, "root").select("fp", "component_id")
