@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+OWN_FOLDER = "lakeweft.shared.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach.  Only an unset setting (tests) gets a local one."""
-    folder = spark.conf.get(CHECKPOINT, None)
+    """The folder every executor can reach.  Only where the setting is unset (tests) a local one is made and remembered."""
+    folder = spark.conf.get(CHECKPOINT, None) or spark.conf.get(OWN_FOLDER, None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="lakeweft-")
-        spark.conf.set(CHECKPOINT, folder)
+        spark.conf.set(OWN_FOLDER, folder)
     return folder.rstrip("/")
 
 
