@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeweft.catalog import Catalog, open_catalog
 from lakeweft.plans.dialect import DialectError, Rewriter, Token, group_end, literal, parts, tokens
+from lakeweft.plans.statements import WORDS, Statements
+from lakeweft.rdf.sparql import Sparql
 
 
 @dataclasses.dataclass
@@ -23,15 +25,17 @@ class Compat:
 class Engine:
     """One session: a catalog, session variables and a dialect.
 
-    SELECT, UNION, SET, SHOW, DESCRIBE, EXPLAIN, CREATE/DROP VIEW and USE are understood here.
-    Statements that change rows are methods of ``operators.dml.WritableTable``.
+    SELECT, UNION, SET, SHOW, DESCRIBE, EXPLAIN, views and USE are understood here; statements
+    that change rows or tables go to ``plans.statements``, on tables under ``warehouse``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, dialect: str = "mysql", compat: Compat | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, dialect: str = "mysql", compat: Compat | None = None, warehouse: str | None = None):
         self.compat = compat or Compat()
         self.catalog: Catalog = open_catalog(spark, folder, self.compat.ci_equality)
         self.spark = self.catalog.spark
         self.dialect = dialect
+        self.warehouse = (warehouse or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+        self.statements = Statements(self)
         self.variables: dict[str, object] = {"version": "8.0", "autocommit": 1, "time_zone": "UTC", "system_time_zone": "UTC"}
 
     def translate(self, text: str) -> str:
@@ -49,6 +53,8 @@ class Engine:
         if not toks:
             raise DialectError("an empty statement")
         word = toks[0].word
+        if word in WORDS:
+            return self.statements.run(self._bound(toks, args))
         special = getattr(self, f"_{word.lower()}", None) if word in ("SET", "SHOW", "DESCRIBE", "DESC", "EXPLAIN", "CREATE", "DROP", "USE") else None
         if special is not None:
             return special(toks, text)
@@ -59,6 +65,22 @@ class Engine:
             return self.spark.sql(spark_text, args={f"p{i}": a for i, a in enumerate(args, 1)})
         return self.spark.sql(spark_text, args=args if isinstance(args, dict) else list(args))
 
+    def _bound(self, toks: list[Token], args) -> list[Token]:
+        """Placeholders of a changing statement as literals."""
+        out, i = [], 0
+        for t in toks:
+            if t.kind == "param" and args is not None:
+                value = args[int(t.text[1:]) - 1] if t.text.startswith("$") else args[i]
+                i += 1
+                out += tokens(literal(value), self.dialect)
+            else:
+                out.append(t)
+        return out
+
+    def sparql(self, text: str, graph: str = "rdf") -> DataFrame:
+        """SPARQL over a triple table of the catalog."""
+        return Sparql(self.catalog[graph]).query(text)
+
     def _none(self) -> DataFrame:
         return self.spark.createDataFrame([], "affected bigint")
 
@@ -112,7 +134,9 @@ class Engine:
     def _create(self, toks: list[Token], text: str) -> DataFrame:
         at = next((i for i, t in enumerate(toks) if t.word == "VIEW"), None)
         if at is None:
-            raise DialectError("tables are made with operators.dml.WritableTable")
+            if any(t.word == "INDEX" for t in toks[:3]):
+                return self.statements.create_index(toks)
+            return self.statements.create_table(toks)
         replace = any(t.word == "REPLACE" for t in toks[:at])
         name = toks[at + 1].text.strip("`")
         body = next(i for i, t in enumerate(toks) if t.word == "AS")
@@ -124,6 +148,8 @@ class Engine:
         return self._none()
 
     def _drop(self, toks: list[Token], text: str) -> DataFrame:
+        if toks[1].word == "TABLE":
+            return self.statements.drop_table(toks[-1].text.strip("`").lower(), any(t.word == "EXISTS" for t in toks))
         self.catalog.drop(toks[-1].text.strip("`"))
         return self._none()
 

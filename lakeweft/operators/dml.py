@@ -202,10 +202,10 @@ class WritableTable:
         return n
 
     def update_from(self, other: DataFrame, keys: Sequence[tuple[str, str]], values: dict[str, Column]) -> None:
-        """UPDATE of several tables: columns of ``other`` are named ``other.x`` in ``values``."""
-        joined = self.read().alias("self").join(other.alias("other"), [F.col(f"self.{a}") == F.col(f"other.{b}") for a, b in keys], "left")
-        hit = F.col(f"other.{keys[0][1]}").isNotNull()
-        self._replace(joined.select(*(F.when(hit, values[f.name]).otherwise(F.col(f"self.{f.name}")).cast(f.dataType).alias(f.name) if f.name in values else F.col(f"self.{f.name}") for f in self.schema)))
+        """UPDATE of several tables: columns of ``other`` are named ``other_x`` in ``values``, the table's own by their names."""
+        right = other.select(*(F.col(c).alias(f"other_{c}") for c in other.columns)).withColumn("__hit", F.lit(True))
+        joined = self.read().join(right, [F.col(a) == F.col(f"other_{b}") for a, b in keys], "left")
+        self._replace(joined.select(*(F.when(F.col("__hit"), values[f.name]).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name) for f in self.schema)))
 
     def delete(self, where: Column | None = None, order: Sequence[Column] | None = None, limit: int | None = None) -> int:
         rows, hit = self._chosen(where, order, limit)
