@@ -47,7 +47,7 @@ def to_png(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     filtered = np.hstack([np.zeros((len(rows), 1), np.uint8), rows]).tobytes()  # filter 0 before each row
     head = struct.pack(">IIBBBBB", UNIT, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered, 4)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered, 6)) + _chunk(b"IEND", b"")
 
 
 def png_head(head: bytes) -> tuple[int, int, int]:
@@ -93,7 +93,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
             rows = []
             for t in b.column("text").to_pylist():
                 p = payload_of(t or "")
-                digest = hashlib.sha256(p).hexdigest()
+                digest = hashlib.sha256(p).digest()
                 if digest not in seen:
                     if out is None or at > SHARD_BYTES:
                         if out is not None:
@@ -102,20 +102,20 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
                         name, at, seen = f"{uuid.uuid4().hex}.tar", 0, {}
                         out = filesystem.open_output_stream(f"{root}/{name}")
                     media = to_png(p)
-                    info = tarfile.TarInfo(digest)
+                    info = tarfile.TarInfo(digest.hex())
                     info.size = len(media)
                     member = info.tobuf(tarfile.USTAR_FORMAT) + media + bytes(-len(media) % 512)
                     out.write(member)
                     seen[digest] = (name, at, len(media))
                     at += len(member)
                 rows.append((len((t or "").encode("utf-8", "replace")), digest, *seen[digest]))
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         if out is not None:
             out.write(bytes(1024))
             out.close()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, digest binary, shard string, offset long, length long")
 
 
 def _located(batches, folder: str):
@@ -133,7 +133,7 @@ def _located(batches, folder: str):
                 name, file = s[i], filesystem.open_input_file(f"{root}/{s[i]}")
             size = 512 + n[i]
             data = file.read_at(size if most is None else min(most, size), o[i])
-            if tarfile.TarInfo.frombuf(data[:512], "ascii", "strict").name != d[i]:
+            if tarfile.TarInfo.frombuf(data[:512], "ascii", "strict").name != d[i].hex():
                 raise ValueError("the member found there is another")
             return data[512:]
 
@@ -148,9 +148,9 @@ def metadata(catalog: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         for digests, read in _located(batches, folder):
             rows = [png_head(read(i, HEAD)) for i in range(len(digests))]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), *(pa.array([r[k] for r in rows], pa.int32()) for k in range(3))], ["digest", "width", "height", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *(pa.array([r[k] for r in rows], pa.int32()) for k in range(3))], ["digest", "width", "height", "bits"])
 
-    return catalog.select("digest", "shard", "offset", "length").mapInArrow(run, "digest string, width int, height int, bits int")
+    return catalog.select("digest", "shard", "offset", "length").mapInArrow(run, "digest binary, width int, height int, bits int")
 
 
 def feature_of(payload: bytes) -> str:
@@ -163,7 +163,7 @@ def feature_of(payload: bytes) -> str:
 def payload_features(catalog: DataFrame, folder: str) -> DataFrame:
     """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, width, height, bits, feature), read back from the shards."""
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "bits", "feature"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches):
         for digests, read in _located(batches, folder):
@@ -172,10 +172,10 @@ def payload_features(catalog: DataFrame, folder: str) -> DataFrame:
                 head = png_head(read(i, HEAD))
                 media = read(i, None)
                 p = from_png(media)
-                rows.append((d, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), *head, feature_of(p)))
+                rows.append((d, len(p), hashlib.sha256(p).digest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).digest(), *head, feature_of(p)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, bits int, feature string"
+    schema = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, width int, height int, bits int, feature string"
     return catalog.select("digest", "shard", "offset", "length").mapInArrow(run, schema)
 
 
@@ -194,4 +194,5 @@ def media_columns(docs: DataFrame) -> DataFrame:
     found = payload_features(spread, folder)
     places = catalog.join(found, "digest")
     out = rows.select("doc_id", "n_bytes", "digest").join(places, "digest")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "bits")
+    spell = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_bytes", "payload_bytes", spell("payload_sha256"), "tail_crc32", "media_bytes", spell("media_sha256"), "feature", "shard", "offset", "length", "width", "height", "bits")
