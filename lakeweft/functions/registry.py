@@ -151,3 +151,10 @@ def fold(neutral: str, step: str, order_by: str | None = None) -> str:
     """
     values = "collect_list({0})" if order_by is None else f"transform(array_sort(collect_list(struct({order_by} as k, {{0}} as v))), x -> x.v)"
     return f"aggregate({values}, {neutral}, (s, v) -> {step})"
+
+
+def register_python(spark, name: str, function, kind: str) -> None:
+    """A scalar function over pandas series, for what no built-in expression says; it runs in Arrow batches."""
+    from pyspark.sql import functions as F
+
+    spark.udf.register(name, F.pandas_udf(function, kind))

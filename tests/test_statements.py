@@ -73,3 +73,34 @@ def test_psql_upsert(spark, tmp_path):
 def test_sparql_over_a_catalog_table(e, spark):
     e.catalog.add("rdf", e.spark.createDataFrame([("a", "p", "b")], "s string, p string, o string"))
     assert [r["o"] for r in e.sparql("SELECT ?o WHERE { <a> <p> ?o }").collect()] == ["b"]
+
+
+def test_http_front_and_dump_replay(e, spark):
+    import http.client
+    import threading
+
+    from lakeweft.functions.registry import register_python
+    from lakeweft.sources import server
+
+    dump = "-- a dump\nCREATE TABLE public.t (id integer NOT NULL, note text);\nINSERT INTO public.t VALUES (1, 'semi;colon');\nCOPY public.t (id, note) FROM stdin;\n2\t\\N\n\\.\nSET x = 1;\n"
+    psql = Engine(spark, None, "psql", warehouse=e.warehouse + "/dump")
+    assert server.replay(psql, dump) == 3
+    psql.catalog.add("rdf", psql.spark.createDataFrame([("a", "p", "b")], "s string, p string, o string"))
+
+    def twice(x):
+        return x * 2
+
+    register_python(psql.spark, "twice", twice, "bigint")
+    front = server.serve({("psql", "d"): psql, ("rdf", "d"): psql})
+    threading.Thread(target=front.serve_forever, daemon=True).start()
+
+    def post(path, body):
+        c = http.client.HTTPConnection("127.0.0.1", front.server_port)
+        c.request("POST", path, body)
+        r = c.getresponse()
+        return r.status, r.read().decode()
+
+    assert post("/psql/d", "SELECT id, note, twice(id) AS w FROM t ORDER BY id") == (200, '{"id":1,"note":"semi;colon","w":2}\n{"id":2,"note":null,"w":4}\n')
+    assert post("/rdf/d", "SELECT ?o WHERE { <a> <p> ?o }") == (200, '{"o":"b"}\n')
+    assert post("/psql/d", "SELECT nothing FROM nowhere")[0] == 400 and post("/sql/x", "SELECT 1")[0] == 404
+    front.shutdown()
