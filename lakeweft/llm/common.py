@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
 OWN_FOLDER = "lakeweft.shared.dir"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = "67108864b"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,9 +52,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(jvm_context.hadoopConfiguration()).delete(target, True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that a worker's memory doesn't grow with the length of texts.
+
+    Only the default is lowered; a value of the user's own stays.
+    """
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back."""
     spark = df.sparkSession
+    bounded(spark)
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -73,7 +85,7 @@ def free_name(base: str, taken: list[str]) -> str:
 
 
 #: Texts are handed to an operator in slices of about this many bytes, at least one text each.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -98,6 +110,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict], schema: str, keep:
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    bounded(df.sparkSession)
     source = df.select(*keep, F.col(text).cast("string").alias("__text"))
     added = _parse_datatype_string(schema)
     out = StructType([*(source.schema[k] for k in keep), *added.fields])

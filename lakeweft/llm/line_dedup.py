@@ -1,9 +1,11 @@
 """Operator 5: fuzzy line dedup over the whole corpus.
 
 Lines of at least ``LEAST_WORDS`` words are normalised (lower case, one space between
-words) and get a 64-bit SimHash of their words.  Fingerprints at most ``BITS`` bits apart
-agree wholly in at least two of ``BITS + 2`` blocks (pigeonhole), so each is indexed under
-every pair of blocks; equal keys meet and the distance is verified.  Two lines are linked if
+words) and get a 64-bit SimHash of their distinct words, counted once each, so that a
+language's most common words don't draw all its lines together.  Fingerprints at most
+``BITS`` bits apart agree wholly in at least ``agree`` of ``BITS + agree`` blocks (pigeonhole),
+so each is indexed under every choice of that many blocks; equal keys meet and the distance
+is verified.  Two lines are linked if
 their fingerprints are that near and their edit similarity, 1 - Levenshtein / longer
 length, is at least ``SIMILARITY``.  One occurrence of each connected group stays, the one
 of the smallest (doc_id, line).  Shorter lines, blank ones included, always stay.
@@ -17,81 +19,154 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.bpe import Memo
-from lakeweft.llm.common import map_texts, written
+from lakeweft.llm.common import free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
-LEAST_WORDS, BITS, SIMILARITY = 4, 3, 0.8
-TOGETHER = 1024
-_WORDS_AT_ONCE = 1 << 15
+LEAST_WORDS, BITS, SIMILARITY = 4, 4, 0.8
+TOGETHER = 512
+_WORDS_AT_ONCE = 1 << 14
 
 
-def _block_bits(bits: int) -> list[tuple[int, int]]:
-    edges = np.linspace(0, 64, bits + 3).round().astype(int).tolist()
+def _blocks(bits: int, agree: int) -> list[tuple[int, int]]:
+    edges = np.linspace(0, 64, bits + agree + 1).round().astype(int).tolist()
     return list(itertools.pairwise(edges))
 
 
-def block_keys(fp: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """One key for each pair of blocks: the pair's number, then its bits."""
-    parts = [(fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in _block_bits(bits)]
-    width = max(b - a for a, b in _block_bits(bits))
-    pairs = list(itertools.combinations(parts, 2))
-    out = np.empty((len(fp), len(pairs)), np.int64)
-    for k, (x, y) in enumerate(pairs):
-        out[:, k] = (x << np.uint64(width) | y).astype(np.int64) | (k << (2 * width))
+def block_keys(fp: np.ndarray, bits: int = BITS, agree: int = 2) -> np.ndarray:
+    """One key for each choice of ``agree`` blocks of ``bits + agree``: the choice's number, then its bits.
+
+    Fingerprints at most ``bits`` apart agree wholly in some choice.
+    """
+    blocks = _blocks(bits, agree)
+    width = max(b - a for a, b in blocks)
+    parts = [(fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in blocks]
+    choices = list(itertools.combinations(parts, agree))
+    out = np.empty((len(fp), len(choices)), np.int64)
+    for k, chosen in enumerate(choices):
+        key = np.zeros(len(fp), np.uint64)
+        for x in chosen:
+            key = key << np.uint64(width) | x
+        out[:, k] = key.astype(np.int64) | (k << (agree * width))
     return out
 
 
-_hash_of = Memo(lambda w: xxhash.xxh64_intdigest(w, 42), 500_000)
+def blocks_to_agree(n: int, bits: int) -> int:
+    """How many blocks a key takes so that few of ``n`` fingerprints share one by chance.
+
+    Any number finds the same links; more blocks make more keys of fewer rows each.
+    """
+    agree = 2
+    while agree < 4 and n > 64 << (64 * agree // (bits + agree)):
+        agree += 1
+    return agree
+
+
+#: An odd base of the rolling sum, its inverse modulo 2**64, and the constants of the splitmix64 mixer.
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+_HASH_BITS = 40
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
+    return x ^ (x >> np.uint64(31))
 
 
-def line_fingerprints(lines: list[list[str]]) -> np.ndarray:
-    """SimHash of each list of words: a bit is 1 if it is set in over half the words' hashes."""
-    out = np.zeros(len(lines), np.uint64)
+@lru_cache(maxsize=4)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _powers_to(base: int, n: int) -> np.ndarray:
+    return _powers(base, 1 << max(16, int(n).bit_length()))[:n]
+
+
+def _simhashes(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of each run of ``features``: a bit is 1 if it is set in over half of them."""
+    out = np.zeros(len(sizes), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    bits = lambda a, b: np.unpackbits(features[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     at = 0
-    while at < len(lines):
-        to, n = at, 0
-        while to < len(lines) and (n == 0 or n + len(lines[to]) <= _WORDS_AT_ONCE):
-            n += len(lines[to])
-            to += 1
-        sizes = np.fromiter(map(len, lines[at:to]), np.int64, to - at)
-        h = np.fromiter(map(_hash_of.__getitem__, itertools.chain.from_iterable(lines[at:to])), np.uint64, n)
+    while at < len(sizes):
+        start = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + _WORDS_AT_ONCE, "right")))
         if to == at + 1:  # may be a very long line
             counts = np.zeros((1, 64), np.int64)
-            for k in range(0, n, _WORDS_AT_ONCE):
-                counts += np.unpackbits(h[k : k + _WORDS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+            for k in range(start, int(ends[at]), _WORDS_AT_ONCE):
+                counts += bits(k, min(k + _WORDS_AT_ONCE, int(ends[at]))).sum(0, dtype=np.int64)
         else:
-            counts = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
-        out[at:to] = ((2 * counts > sizes[:, None]) * weights).sum(1, dtype=np.uint64)
+            counts = np.add.reduceat(bits(start, int(ends[to - 1])), ends[at:to] - sizes[at:to] - start, axis=0, dtype=np.int32)
+        out[at:to] = ((2 * counts > sizes[at:to, None]) * weights).sum(1, dtype=np.uint64)
         at = to
     return out
 
 
+def hashed_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lines in each text that count, their numbers, hashes and fingerprints), without an object per word.
+
+    The bytes of all texts are one array.  Word hashes are differences of a rolling sum; a
+    line's hash is a sum over its words' hashes by place.
+    """
+    raw = np.frombuffer("\n".join(t.lower() for t in texts).encode("utf-8", "replace"), np.uint8)
+    n = len(raw)
+    per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)  # lower-casing makes no line end
+    white = _WHITE[raw]
+    edge = np.diff(np.r_[True, white, True].astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    total = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers_to(_BASE, n), dtype=np.uint64)]
+    words = _mixed((total[end] - total[start]) * _powers_to(_UNDO, n + 1)[start] + (end - start).astype(np.uint64))
+    of_line = np.cumsum(raw == 10)[start] if n else np.empty(0, np.int64)
+    count = np.bincount(of_line, minlength=int(per_text.sum()))
+    wanted = np.flatnonzero(count >= LEAST_WORDS)
+    keep = count[of_line] >= LEAST_WORDS
+    words, sizes = words[keep], count[wanted]
+    first = np.cumsum(sizes) - sizes
+    rank = np.repeat(np.arange(len(wanted)), sizes)
+    if len(wanted):
+        place = np.arange(len(words)) - first[rank]
+        hashes = _mixed(np.add.reduceat(words * _powers_to(_BASE, int(sizes.max()))[place], first) + sizes.astype(np.uint64))
+        short = words >> np.uint64(64 - _HASH_BITS)
+        if len(wanted) < 1 << (64 - _HASH_BITS):
+            both = np.sort(rank.astype(np.uint64) << np.uint64(_HASH_BITS) | short)
+            both = both[np.r_[True, both[1:] != both[:-1]]]
+            distinct, rank = both & np.uint64((1 << _HASH_BITS) - 1), (both >> np.uint64(_HASH_BITS)).astype(np.int64)
+        else:
+            order = np.lexsort((short, rank))
+            short, rank = short[order], rank[order]
+            new = np.r_[True, (short[1:] != short[:-1]) | (rank[1:] != rank[:-1])]
+            distinct, rank = short[new], rank[new]
+        fps = _simhashes(_mixed(distinct + np.uint64(_BASE)), np.bincount(rank, minlength=len(wanted)))
+    else:
+        hashes = fps = np.empty(0, np.uint64)
+    begins = np.cumsum(per_text) - per_text
+    text_of = np.searchsorted(begins, wanted, "right") - 1
+    return np.bincount(text_of, minlength=len(texts)), wanted - begins[text_of], hashes, fps
+
+
 def _lines(texts: list[str]) -> dict:
-    """For each text its lines that count: (number, hash, fingerprint, normalised line)."""
-    words, where = [], []
-    for i, t in enumerate(texts):
-        for k, line in enumerate(t.split("\n")):
-            w = line.lower().split()
-            if len(w) >= LEAST_WORDS:
-                words.append(w)
-                where.append((i, k))
-    fps = line_fingerprints([list(set(w)) for w in words]).view(np.int64)
-    joined = [" ".join(w) for w in words]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in joined), np.uint64, len(joined)).view(np.int64)
-    per_text = np.bincount(np.fromiter((i for i, _ in where), np.int64, len(where)), minlength=len(texts)) if texts else np.empty(0, np.int64)
-    offsets = pa.array(np.r_[0, np.cumsum(per_text)].astype(np.int32))
-    columns = [pa.array(np.fromiter((k for _, k in where), np.int32, len(where))), pa.array(h), pa.array(fps), pa.array(joined, pa.string())]
-    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["line", "hash", "fp", "text"]))}
+    """For each text its lines that count: (number, hash, fingerprint)."""
+    n, numbers, hashes, fps = hashed_lines(texts)
+    offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+    columns = [pa.array(numbers.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(fps.view(np.int64))]
+    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["line", "hash", "fp"]))}
+
+
+def normalised(line: str) -> str:
+    return b" ".join(line.lower().encode("utf-8", "replace").split()).decode()
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -191,50 +266,77 @@ def _verifier(bits: int, similarity: float):
     return run
 
 
-def _expander(bits: int):
+def _expander(bits: int, agree: int):
     def run(batches):
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False)
             for at in range(0, len(fp), 8192):
                 part = fp[at : at + 8192]
-                keys = block_keys(part.view(np.uint64), bits)
+                keys = block_keys(part.view(np.uint64), bits, agree)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
 
     return run
 
 
-def fuzzy_groups(distinct: DataFrame, lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """(hash, root) for the lines that link to another; ``distinct`` has (hash, fp), ``lines`` (hash, fp, text) once or more for each."""
-    near = components(links(distinct.select("fp").distinct().mapInArrow(_expander(bits), "key long, fp long"), bits))
+#: A side of a join is broadcast up to this many entries of at most 40 bytes; beyond it both sides are shuffled.
+BROADCAST_ENTRIES = 500_000
+
+
+def _sized(side: DataFrame, entries: int | None = None) -> DataFrame:
+    """A written table, broadcast if its counted size allows."""
+    return F.broadcast(side) if (side.count() if entries is None else entries) <= BROADCAST_ENTRIES else side
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(hash, fp, root, text): the normalised lines of ``wanted`` (row, line, hash, fp, root), read from their documents."""
+    by_row = written(wanted.groupBy("row").agg(F.collect_list(F.struct("line", "hash", "fp", "root")).alias("w")), "wanted-lines")
+    entries = by_row.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
+    joined = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(_sized(by_row, entries), "row").select("text", "w")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t, w in zip(b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
+                lines = (t or "").split("\n")
+                rows += [(x["hash"], x["fp"], x["root"], normalised(lines[x["line"]])) for x in w]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["hash", "fp", "root", "text"])
+
+    return joined.mapInArrow(run, "hash long, fp long, root long, text string").dropDuplicates(["hash"])
+
+
+def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """(hash, root) for the lines that link to another; ``distinct`` has (hash, fp, row, line), the place of one occurrence."""
+    fps = written(distinct.select("fp").distinct(), "line-fingerprints")
+    near = components(links(fps.mapInArrow(_expander(bits, blocks_to_agree(fps.count(), bits)), "key long, fp long"), bits))
     of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
     # lines of one fingerprint (the same words in another order) are a group, too
     same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     of_fp = written(of_fp.unionAll(same.join(of_fp, "node", "left_anti").select("node", "root")), "line-fps")
-    wanted = lines.join(of_fp, lines["fp"] == of_fp["node"]).select("hash", "fp", "root", "text").dropDuplicates(["hash"])
-    wanted = written(wanted, "line-texts")
-    sizes = wanted.groupBy("root").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("blocks"))
+    wanted = written(distinct.join(_sized(of_fp), distinct["fp"] == of_fp["node"]).select("row", "line", "hash", "fp", "root"), "line-places")
+    sizes = wanted.groupBy("root").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
-    dealt = wanted.join(sizes, "root").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _texts_of(docs, wanted).join(sizes, "root").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "hash", "fp", "text")
     found = keyed.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(_verifier(bits, similarity), "u long, v long")
     return components(found).select(F.col("node").alias("hash"), "root")
 
 
-def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """(row, drop): for each document that loses lines, its key and the numbers (from 0) of those lines.
 
     ``row`` is the hash of id and text, so exactly repeated rows are one document.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    lines = written(map_texts(keyed, _lines, "l array<struct<line:int,hash:long,fp:long,text:string>>", ["doc_id", "row"]).select("doc_id", "row", F.inline("l")), "lines")
+    lines = written(map_texts(keyed, _lines, "l array<struct<line:int,hash:long,fp:long>>", ["doc_id", "row"]).select("doc_id", "row", F.inline("l")), "lines")
     place = F.struct("doc_id", "row", "line")
     distinct = written(lines.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("fp").alias("fp")), "distinct-lines")
-    roots = fuzzy_groups(distinct.select("hash", "fp"), lines.select("hash", "fp", "text"), bits, similarity)
+    roots = fuzzy_groups(docs, distinct.select("hash", "fp", "first.row", "first.line"), bits, similarity, together)
     roots = written(roots.unionAll(roots.select(F.col("root").alias("hash"), "root")).distinct(), "line-roots")
-    shared = distinct.join(roots, "hash", "left").where("root is not null or first <> last").select("hash", F.coalesce("root", "hash").alias("root"), "first")
+    shared = distinct.join(_sized(roots), "hash", "left").where("root is not null or first <> last").select("hash", F.coalesce("root", "hash").alias("root"), "first")
+    shared = written(shared, "shared-lines")
     kept = shared.groupBy("root").agg(F.min("first").alias("kept"))
-    of_hash = shared.join(kept, "root").select("hash", "kept")
-    gone = lines.select("row", "line", "hash", place.alias("here")).join(of_hash, "hash").where(~F.col("here").eqNullSafe(F.col("kept")))
+    of_hash = written(shared.join(kept, "root").select("hash", "kept"), "kept-lines")
+    gone = lines.select("row", "line", "hash", place.alias("here")).join(_sized(of_hash), "hash").where(~F.col("here").eqNullSafe(F.col("kept")))
     return gone.groupBy("row").agg(F.collect_set("line").alias("drop"))
 
 
@@ -243,7 +345,7 @@ def without_lines(text: str | None, drop: list[int]) -> str | None:
     return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
 
 
-def line_dedup(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def line_dedup(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """``docs`` with every repeated line taken out but for one occurrence in the corpus, all rows and columns kept.
 
     A null or empty text stays as it is.  Of a group of lines the occurrence of the smallest
@@ -251,16 +353,18 @@ def line_dedup(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY
     document: they lose the same lines.  A ``n_chars`` column of documents is not recounted here.
     """
     names = docs.columns
-    drops = repeated_lines(docs, bits, similarity).withColumnsRenamed({"row": "__row", "drop": "__drop"})
-    joined = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(drops, "__row", "left")
+    row, drop = free_name("row", names), free_name("drop", names)
+    drops = written(repeated_lines(docs, bits, similarity, together).withColumnsRenamed({"row": row, "drop": drop}), "dropped-lines")
+    entries = drops.agg(F.coalesce(F.sum(F.size(drop) + 4), F.lit(0))).first()[0] // 4
+    joined = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(_sized(drops, entries), row, "left")
 
     def run(batches):
         for b in batches:
-            texts, drop = b.column("text").to_pylist(), b.column("__drop").to_pylist()
-            made = [without_lines(t, d) if d and t else t for t, d in zip(texts, drop, strict=True)]
+            texts, gone = b.column("text").to_pylist(), b.column(drop).to_pylist()
+            made = [without_lines(t, d) if d and t else t for t, d in zip(texts, gone, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if n == "text" else b.column(n) for n in names], names)
 
-    return joined.select(*names, "__drop").mapInArrow(run, docs.schema)
+    return joined.select(*names, drop).mapInArrow(run, docs.schema)
 
 
 def line_report(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
