@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeweft.catalog import Catalog, open_catalog
 from lakeweft.plans.dialect import DialectError, Rewriter, Token, group_end, literal, parts, tokens
 from lakeweft.plans.statements import WORDS, Statements
+from lakeweft.plans.triggers import create_trigger, drop_trigger
 from lakeweft.rdf.sparql import Sparql
 
 
@@ -132,8 +133,10 @@ class Engine:
         return self.spark.sql(f"explain {mode} " + self.translate(body))
 
     def _create(self, toks: list[Token], text: str) -> DataFrame:
-        at = next((i for i, t in enumerate(toks) if t.word == "VIEW"), None)
+        at = next((i for i, t in enumerate(toks[:5]) if t.word == "VIEW"), None)
         if at is None:
+            if any(t.word == "TRIGGER" for t in toks[:3]):
+                return create_trigger(self.statements, toks)
             if any(t.word == "INDEX" for t in toks[:3]):
                 return self.statements.create_index(toks)
             return self.statements.create_table(toks)
@@ -148,6 +151,8 @@ class Engine:
         return self._none()
 
     def _drop(self, toks: list[Token], text: str) -> DataFrame:
+        if toks[1].word == "TRIGGER":
+            return drop_trigger(self.statements, toks[-1].text.strip("`").lower())
         if toks[1].word == "TABLE":
             return self.statements.drop_table(toks[-1].text.strip("`").lower(), any(t.word == "EXISTS" for t in toks))
         self.catalog.drop(toks[-1].text.strip("`"))

@@ -194,11 +194,16 @@ class WritableTable:
         rows, hit = self._chosen(where, order, limit)
         n = rows.filter(hit).count()
         if n:
-            changed = rows.select(*(F.when(hit, values[f.name]).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name) for f in self.schema))
-            before = rows.filter(hit).drop("__hit")
-            self._fire("before", "update", before)
-            self._replace(changed)
-            self._fire("after", "update", before)
+            new = [F.when(hit, values[f.name]).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name) for f in self.schema]
+            if not any(e == "update" for _, e, _ in self.triggers):
+                self._replace(rows.select(*new))
+                return n
+            # a trigger sees the new values under their names and the old ones as old_x
+            changed = rows.filter(hit).select(*new, *(F.col(c).alias(f"old_{c}") for c in self.schema.names))
+            changed = self._fire("before", "update", changed)
+            changed = self.spark.read.parquet(f"{self.folder}/{self._write(changed)}")
+            self._replace(rows.filter(~hit).select(*self.schema.names).unionByName(changed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema))))
+            self._fire("after", "update", changed)
         return n
 
     def update_from(self, other: DataFrame, keys: Sequence[tuple[str, str]], values: dict[str, Column]) -> None:

@@ -104,3 +104,24 @@ def test_http_front_and_dump_replay(e, spark):
     assert post("/rdf/d", "SELECT ?o WHERE { <a> <p> ?o }") == (200, '{"o":"b"}\n')
     assert post("/psql/d", "SELECT nothing FROM nowhere")[0] == 400 and post("/sql/x", "SELECT 1")[0] == 404
     front.shutdown()
+
+
+def test_triggers_as_text(e):
+    e.sql("CREATE TABLE acc (id INT PRIMARY KEY, bal INT, kind TEXT)")
+    e.sql("CREATE TABLE log (id INT, what TEXT, was INT, now INT)")
+    e.sql("CREATE TABLE total (kind TEXT PRIMARY KEY, n INT)")
+    e.sql("INSERT INTO total VALUES ('neg', 0), ('pos', 0)")
+    e.sql("CREATE TRIGGER t1 BEFORE INSERT ON acc FOR EACH ROW BEGIN IF NEW.bal < 0 THEN SET NEW.kind = 'neg'; ELSE SET NEW.kind = 'pos'; END IF; SET NEW.bal = NEW.bal + 1; END")
+    e.sql("CREATE TRIGGER t2 AFTER INSERT ON acc FOR EACH ROW INSERT INTO log (id, what, now) VALUES (NEW.id, CONCAT('in ', NEW.kind), NEW.bal)")
+    e.sql("CREATE TRIGGER t3 AFTER UPDATE ON acc FOR EACH ROW BEGIN INSERT INTO log VALUES (NEW.id, 'up', OLD.bal, NEW.bal); UPDATE total SET n = NEW.bal WHERE kind = NEW.kind; END")
+    e.sql("CREATE TRIGGER t4 AFTER DELETE ON acc FOR EACH ROW DELETE FROM log WHERE id = OLD.id")
+    e.sql("INSERT INTO acc (id, bal) VALUES (1, 5), (2, -5)")
+    assert rows(e, "SELECT id, bal, kind FROM acc ORDER BY id") == [(1, 6, "pos"), (2, -4, "neg")]
+    e.sql("UPDATE acc SET bal = bal * 10 WHERE id = 2")
+    assert rows(e, "SELECT what, was, now FROM log ORDER BY what") == [("in neg", None, -4), ("in pos", None, 6), ("up", -4, -40)]
+    assert rows(e, "SELECT n FROM total WHERE kind = 'neg'") == [(-40,)]
+    e.sql("DELETE FROM acc WHERE id = 2")
+    assert rows(e, "SELECT id FROM log") == [(1,)]
+    e.sql("DROP TRIGGER t2")
+    e.sql("INSERT INTO acc (id, bal) VALUES (3, 0)")
+    assert rows(e, "SELECT COUNT(*) FROM log") == [(1,)]
