@@ -18,7 +18,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Words of more parts than this are merged with a heap, as rescanning would take the square of the length.
 SHORT = 64
 #: Pieces remembered per worker; the memo starts anew when it is full.
-MEMO = 700_000
+MEMO = 500_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -50,7 +50,7 @@ def _tokenizer(path: str):
             return memo[chunk.lower()]
         return array("I", encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    memo = Memo(make, 1_200_000)
+    memo = Memo(make, 600_000)
     return tok, memo
 
 
