@@ -19,7 +19,7 @@ from lakeweft.llm.common import map_texts, written
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A distance counts against a text of n words if it is over floor + slack / sqrt(n): counts of a
 #: short text scatter about the reference with the inverse root of its length.
-CLASS_FLOOR, CLASS_SLACK, WORD_FLOOR, WORD_SLACK = 0.16, 1.2, 0.15, 2.5
+CLASS_FLOOR, CLASS_SLACK, WORD_FLOOR, WORD_SLACK = 0.16, 1.2, 0.2, 3.0
 #: Texts of fewer words are never judged by distance.
 LEAST_WORDS = 40
 _NC, _NW = len(ts.CLASSES), len(ts.WORDS) + 1
