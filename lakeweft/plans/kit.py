@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeweft.catalog import DRIVER_TABLES
 from lakeweft.engine import Compat, Engine
 from lakeweft.plans.dialect import tokens
+from lakeweft.session import import_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,5 +27,15 @@ def text(sql: str, dialect: str = "mysql", args=None, compat: Compat | None = No
     return lambda spark, folder: engine_for(spark, folder, names, dialect, compat).sql(sql, args)
 
 
+def ready(query: Query) -> Query:
+    """The query, after its session's Python workers were told where this package is."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        import_path(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

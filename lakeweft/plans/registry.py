@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeweft.plans import features, relational
-from lakeweft.plans.kit import Query
+from lakeweft.plans.kit import Query, ready
 
 _PARTS = (relational, features)
 
@@ -14,7 +14,7 @@ def queries() -> dict[str, Query]:
     out: dict = {}
     for part in _PARTS:
         out |= part.queries()
-    return out
+    return {name: ready(query) for name, query in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:

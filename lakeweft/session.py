@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings of an engine session.  Non-ANSI arithmetic gives NULL for x/0 and for casts of
@@ -16,6 +19,14 @@ ENGINE_CONF = {
 }
 
 
+def import_path(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever their working folder is."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("lakeweft").config("spark.sql.shuffle.partitions", str(partitions))
     for k, v in ({"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC"} | conf).items():
