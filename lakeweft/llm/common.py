@@ -18,9 +18,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweft.session import import_path
+
 CHECKPOINT = "spark.checkpoint.dir"
 OWN_FOLDER = "lakeweft.shared.dir"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -39,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path of this run alone, removed when the driver's Python ends."""
     path = f"{shared_folder(spark)}/lakeweft/{label}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    atexit.register(_remove_at_exit, spark, path)
     return path
 
 
@@ -52,11 +55,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(jvm_context.hadoopConfiguration()).delete(target, True)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except (Py4JError, OSError):  # the JVM went first
+        pass
+
+
 def bounded(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that a worker's memory doesn't grow with the length of texts.
 
-    Only the default is lowered; a value of the user's own stays.
+    Only the default is lowered; a value of the user's own stays.  Workers are also told where this package is.
     """
+    import_path(spark)
     if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
         spark.conf.set(BATCH_BYTES, "4m")
 
