@@ -13,6 +13,7 @@ many blocks are then packed together in the same way, as each block leaves about
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweft.llm.bpe import Memo, word_and_marks
+from lakeweft.llm.bpe import MARKS, Memo
 from lakeweft.llm.common import map_texts, written
 
 CAPACITY = 4096
@@ -42,12 +43,6 @@ def _tokenizer(path: str):
     encode = tok.encode
 
     def make(chunk: str) -> bytes:
-        two = word_and_marks(chunk)
-        if two and "\u0130" not in chunk:  # whose lower case ends in a mark, which isn't a letter
-            return memo[two[0]] + memo[two[1]]
-        # the vocabulary is lower case; up to U+00FF a letter's lower case is one letter whatever its context
-        if not chunk.islower() and chunk.isalpha() and max(chunk) <= "\xff":
-            return memo[chunk.lower()]
         return array("I", encode(chunk, add_special_tokens=False).ids).tobytes()
 
     memo = Memo(make, 600_000)
@@ -58,12 +53,23 @@ def _tokenizer(path: str):
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+#: Marks behind a letter are a pre-token of their own, so a space may be put before them: fewer distinct chunks.
+#: Only letters up to U+00FF count, as others may fall into a letter and a mark when normalised.
+_MARKS_BEHIND = re.compile(rf"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([{re.escape(MARKS)}]+)(?=\s|$)").sub
+
+
 def ids_of(text: str, path: str) -> bytes:
     """Ids as unsigned 32-bit numbers.  The vocabulary drops white space, so each chunk between is encoded alone."""
     tok, memo = _tokenizer(path)
     if any(c in text for c in SEPARATORS):
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
-    return b"".join(map(memo.__getitem__, text.split()))
+    if "<|" not in text:
+        try:  # up to U+00FF a letter's lower case is one letter whatever its context
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return b"".join(map(memo.__getitem__, _MARKS_BEHIND(r" \1", text).split()))
 
 
 def cut(texts: list[str], path: str, capacity: int, end_id: int) -> dict:
