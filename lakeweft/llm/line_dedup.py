@@ -334,7 +334,7 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILA
     roots = written(roots.unionAll(roots.select(F.col("root").alias("hash"), "root")).distinct(), "line-roots")
     shared = distinct.join(_sized(roots), "hash", "left").where("root is not null or first <> last").select("hash", F.coalesce("root", "hash").alias("root"), "first")
     shared = written(shared, "shared-lines")
-    kept = shared.groupBy("root").agg(F.min("first").alias("kept"))
+    kept = written(shared.groupBy("root").agg(F.min("first").alias("kept")), "kept-places")  # a plain shuffle for the join, which can be split
     of_hash = written(shared.join(kept, "root").select("hash", "kept"), "kept-lines")
     gone = lines.select("row", "line", "hash", place.alias("here")).join(_sized(of_hash), "hash").where(~F.col("here").eqNullSafe(F.col("kept")))
     return gone.groupBy("row").agg(F.collect_set("line").alias("drop"))

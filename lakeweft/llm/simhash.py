@@ -198,7 +198,8 @@ def _expander(batches):
 
 def links(keyed: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     """(u, v): links between distinct fingerprints that share a key, enough to connect what is connected."""
-    first = written(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits, block), "u long, v long, key long"), "links")
+    # one sort column of longs: Spark sorts it by radix
+    first = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(bits, block), "u long, v long, key long"), "links")
     out = first.where("key is null").select("u", "v")
     large = first.where("key is not null").select("key", F.col("u").alias("fp"))
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(max(1, block // 2))).cast("int").alias("blocks"))
@@ -208,7 +209,7 @@ def links(keyed: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
     pairs = blocked.select("fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
     # a hash collision only brings more fingerprints together; every link is verified
-    more = pairs.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_pair_linker(bits), "u long, v long, key long")
+    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_linker(bits), "u long, v long, key long")
     return out.union(more.select("u", "v"))
 
 
