@@ -42,6 +42,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
+def _least(pairs: DataFrame) -> DataFrame:
+    """(w, m): the smallest neighbour of each node.
+
+    Written before it is joined, so that both sides of the join are plain shuffles and
+    adaptive execution can split a hub's rows over many tasks.
+    """
+    return written(pairs.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "least")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)`` but the roots; root is the smallest node.
 
@@ -53,12 +62,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(stars)
     while mark[0]:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        large = both.join(least, both["u"] == least["w"]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        first = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        least = _least(both)
+        large = written(both.join(least, both["u"] == least["w"]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "edges")
+        first = _least(large)
         small = large.join(first, large["u"] == first["w"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         nxt = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        drop_written(stars)
+        for done in (stars, least, large, first):
+            drop_written(done)
         stars, before, mark = nxt, mark, _mark(nxt)
         if mark == before:
             break
