@@ -79,10 +79,14 @@ def _vector_topk(mode: str) -> Query:
 # ---- RDF -------------------------------------------------------------------------------
 
 
-def triples(spark, d) -> DataFrame:
-    """nation, region and customer as triples."""
+#: The given SQL of some queries holds their graph to these customers; each has a ``_whole`` twin without.
+BOUND = "c_custkey < 300"
+
+
+def triples(spark, d, customers: str = "TRUE") -> DataFrame:
+    """nation, region and customer as triples, of the customers for which the condition holds."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    c = table(spark, d, "customer").filter("c_custkey < 300")
+    c = table(spark, d, "customer").filter(customers)
     iri = lambda kind, k: F.concat(F.lit(f"ex:{kind}"), k.cast("string"))
     rows = [
         n.select(iri("n", F.col("n_nationkey")).alias("s"), F.lit("ex:name").alias("p"), F.col("n_name").alias("o")),
@@ -98,8 +102,8 @@ def triples(spark, d) -> DataFrame:
     return out
 
 
-def _sparql(query: str) -> Query:
-    return lambda spark, d: Sparql(triples(spark, d)).query(query)
+def _sparql(query: str, customers: str = "TRUE") -> Query:
+    return lambda spark, d: Sparql(triples(spark, d, customers)).query(query)
 
 
 _T = "(SELECT 'ex:n' || n_nationkey AS s, 'ex:in' AS p, 'ex:r' || n_regionkey AS o FROM nation)"
@@ -258,9 +262,11 @@ DIRECT: dict[str, tuple[Query, str | None]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {n: text(sql) for n, (sql, _) in TEXTS.items()} | {n: _sparql(q) for n, (q, _) in RDF.items()} | {n: q for n, (q, _) in DIRECT.items()}
+    out = {n: text(sql) for n, (sql, _) in TEXTS.items()} | {n: _sparql(q, BOUND if BOUND in o else "TRUE") for n, (q, o) in RDF.items()}
+    return out | {f"{n}_whole": _sparql(q) for n, (q, o) in RDF.items() if BOUND in o} | {n: q for n, (q, _) in DIRECT.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: oracle or sql for n, (sql, oracle) in TEXTS.items()} | {n: o for n, (_, o) in RDF.items()}
+    out |= {f"{n}_whole": o.replace(BOUND, "TRUE") for n, (_, o) in RDF.items() if BOUND in o}
     return out | {n: o for n, (_, o) in DIRECT.items() if o}
