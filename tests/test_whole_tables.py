@@ -24,3 +24,10 @@ def test_graph_has_every_customer(spark):
 
     customers = spark.read.parquet(f"{FOLDER}/customer.parquet").count()
     assert customers > 300 and triples(spark, FOLDER).where("p = 'ex:nation'").count() == customers
+
+
+def test_membership_finds_customers_of_every_order(spark):
+    got = {r["c_custkey"]: r["found"] for r in test_oracle.QUERIES["in_value_three_valued_whole"](spark, FOLDER).collect()}
+    held = {r["o_custkey"] for r in spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderkey <> 7").collect()}
+    assert any(k >= 500 for k in held)
+    assert all(got[k] is (True if k in held and k % 10 else None) for k in got)
