@@ -1,16 +1,14 @@
 """Operator 5: fuzzy line dedup over the whole corpus.
 
-Lines of at least ``LEAST_WORDS`` words are normalised (lower case, one space between
-words) and get a 64-bit SimHash of their distinct words, counted once each, so that a
-language's most common words don't draw all its lines together.  Fingerprints at most
-``BITS`` bits apart agree wholly in at least ``agree`` of ``BITS + agree`` blocks (pigeonhole),
-so each is indexed under every choice of that many blocks; equal keys meet and the distance
-is verified.  Two lines are linked if
-their fingerprints are that near and their edit similarity, 1 - Levenshtein / longer
-length, is at least ``SIMILARITY``.  One occurrence of each connected group stays, the one
-of the smallest (doc_id, line).  Shorter lines, blank ones included, always stay.
-
-Edit similarity is verified only inside groups that fingerprints connect, and there only
+Every non-blank line is normalised (lower case, one space between words).  Exact repeats
+share a hash.  For the others a line of few words is taken as its set of three-byte runs, a
+longer one as its set of words (between, both): the set gets a 64-bit SimHash and ``BANDS``
+keys of ``ROWS`` MinHash values each.  Two lines are candidates if they share a key and their
+fingerprints are at most ``BITS`` bits apart, and linked if their edit similarity,
+1 - Levenshtein / longer length, is at least ``SIMILARITY``.  One occurrence of each connected
+group stays, the one of the smallest (doc_id, line).  Blank lines always stay.
+
+Edit similarity is verified only inside groups that candidates connect, and there only
 from a line to those not reached yet, so no group's pairs are all listed.  A group of more than
 ``TOGETHER`` lines is verified in pairs of blocks by as many tasks.
 """
@@ -30,7 +28,10 @@ from lakeweft.llm.common import free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
-LEAST_WORDS, BITS, SIMILARITY = 4, 4, 0.8
+LEAST_WORDS, BITS, SIMILARITY = 4, 22, 0.8
+#: Lines of fewer than CHARS_UNDER words are sketched by three-byte runs, lines of WORDS_FROM words or more by words; between, by both.
+WORDS_FROM, CHARS_UNDER = 8, 13
+ROWS, BANDS = 3, 16
 TOGETHER = 512
 _WORDS_AT_ONCE = 1 << 14
 
@@ -116,12 +117,49 @@ def _simhashes(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def hashed_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lines in each text that count, their numbers, hashes and fingerprints), without an object per word.
+    """(lines in each text that count, their numbers, hashes and first fingerprints)."""
+    n, numbers, hashes, sketches = sketched_lines(texts)
+    return n, numbers, hashes, sketches[1][np.unique(sketches[0], return_index=True)[1]]
+
+
+def _bands(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key for each of ``BANDS`` groups of ``ROWS`` MinHash values of each run of ``features``."""
+    first = np.cumsum(sizes) - sizes
+    out = np.empty((len(sizes), BANDS), np.int32)
+    for band in range(BANDS):
+        key = np.full(len(sizes), band + 1, np.uint64)
+        for row in range(ROWS):
+            odd = np.uint64(int(_mixed(np.array([band * ROWS + row + 1], np.uint64))[0]) | 1)
+            x = features * odd
+            x ^= x >> np.uint64(32)
+            key = _mixed(key * np.uint64(_BASE) + np.minimum.reduceat(x, first))
+        out[:, band] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
+
+
+def _distinct_features(features: np.ndarray, rank: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct features, and their number by line."""
+    short = features >> np.uint64(64 - _HASH_BITS)
+    if lines < 1 << (64 - _HASH_BITS):
+        both = np.sort(rank.astype(np.uint64) << np.uint64(_HASH_BITS) | short)
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        distinct, rank = both & np.uint64((1 << _HASH_BITS) - 1), (both >> np.uint64(_HASH_BITS)).astype(np.int64)
+    else:
+        order = np.lexsort((short, rank))
+        short, rank = short[order], rank[order]
+        new = np.r_[True, (short[1:] != short[:-1]) | (rank[1:] != rank[:-1])]
+        distinct, rank = short[new], rank[new]
+    return _mixed(distinct + np.uint64(_BASE)), np.bincount(rank, minlength=lines)
+
+
+def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lines in each text that count, their numbers, hashes, sketches), without an object per word.
 
     The bytes of all texts are one array.  Word hashes are differences of a rolling sum; a
-    line's hash is a sum over its words' hashes by place.
+    line's hash is a sum over its words' hashes by place.  Sketches are (place of the line,
+    fingerprint, band keys), one or two for each line, in the order of lines.
     """
-    raw = np.frombuffer("\n".join(t.lower() for t in texts).encode("utf-8", "replace"), np.uint8)
+    raw = np.frombuffer(("\n" + "\n".join(t.lower() for t in texts)).encode("utf-8", "replace"), np.uint8)
     n = len(raw)
     per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)  # lower-casing makes no line end
     white = _WHITE[raw]
@@ -129,40 +167,65 @@ def hashed_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     total = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers_to(_BASE, n), dtype=np.uint64)]
     words = _mixed((total[end] - total[start]) * _powers_to(_UNDO, n + 1)[start] + (end - start).astype(np.uint64))
-    of_line = np.cumsum(raw == 10)[start] if n else np.empty(0, np.int64)
+    line_no = np.cumsum(raw == 10) - 1
+    of_line = line_no[start]
     count = np.bincount(of_line, minlength=int(per_text.sum()))
     wanted = np.flatnonzero(count >= LEAST_WORDS)
-    keep = count[of_line] >= LEAST_WORDS
-    words, sizes = words[keep], count[wanted]
-    first = np.cumsum(sizes) - sizes
-    rank = np.repeat(np.arange(len(wanted)), sizes)
+    sizes = count[wanted]
+    at = np.full(len(count), -1, np.int64)
+    at[wanted] = np.arange(len(wanted))
+    places, fps, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty((0, BANDS), np.int32)]
     if len(wanted):
-        place = np.arange(len(words)) - first[rank]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(len(words)) - np.repeat(first, sizes)
         hashes = _mixed(np.add.reduceat(words * _powers_to(_BASE, int(sizes.max()))[place], first) + sizes.astype(np.uint64))
-        short = words >> np.uint64(64 - _HASH_BITS)
-        if len(wanted) < 1 << (64 - _HASH_BITS):
-            both = np.sort(rank.astype(np.uint64) << np.uint64(_HASH_BITS) | short)
-            both = both[np.r_[True, both[1:] != both[:-1]]]
-            distinct, rank = both & np.uint64((1 << _HASH_BITS) - 1), (both >> np.uint64(_HASH_BITS)).astype(np.int64)
+        # the normalised bytes: a blank before each word, of lines of few words alone
+        used = ~white
+        used[start - 1] = True
+        used &= (count < CHARS_UNDER)[np.maximum(line_no, 0)] | (raw == 10)
+        used[start - 1] &= count[of_line] < CHARS_UNDER
+        spots = np.flatnonzero(used)
+        byte = np.where(white[spots], 32, raw[spots]).astype(np.uint64)
+        owner = np.where(white[spots], line_no[np.minimum(spots + 1, n - 1)], line_no[spots])
+        few = count[owner] > 0
+        byte, owner = byte[few], owner[few]
+        if len(byte) > 2:
+            inside = owner[2:] == owner[:-2]
+            grams = _mixed((byte[:-2] << np.uint64(16) | byte[1:-1] << np.uint64(8) | byte[2:]) + np.uint64(1))[inside]
+            grams_of = owner[2:][inside]
         else:
-            order = np.lexsort((short, rank))
-            short, rank = short[order], rank[order]
-            new = np.r_[True, (short[1:] != short[:-1]) | (rank[1:] != rank[:-1])]
-            distinct, rank = short[new], rank[new]
-        fps = _simhashes(_mixed(distinct + np.uint64(_BASE)), np.bincount(rank, minlength=len(wanted)))
+            grams, grams_of = np.empty(0, np.uint64), np.empty(0, np.int64)
+        many = count[of_line] >= WORDS_FROM
+        for features, owner in ((grams, grams_of), (words[many], of_line[many])):
+            if not len(features):
+                continue
+            lines, rank = np.unique(owner, return_inverse=True)
+            distinct, each = _distinct_features(features, rank, len(lines))
+            places.append(at[lines])
+            fps.append(_simhashes(distinct, each))
+            keys.append(_bands(distinct, each))
     else:
-        hashes = fps = np.empty(0, np.uint64)
+        hashes = np.empty(0, np.uint64)
+    places, fps, keys = (np.concatenate(x) for x in (places, fps, keys))
+    # a line of one byte has no three; its hash stands in
+    bare = np.setdiff1d(np.arange(len(wanted)), places)
+    places, fps = np.r_[places, bare], np.r_[fps, hashes[bare]]
+    keys = np.concatenate([keys, np.repeat((hashes[bare] >> np.uint64(32)).astype(np.uint32).view(np.int32)[:, None], BANDS, 1)])
+    order = np.argsort(places, kind="stable")
     begins = np.cumsum(per_text) - per_text
     text_of = np.searchsorted(begins, wanted, "right") - 1
-    return np.bincount(text_of, minlength=len(texts)), wanted - begins[text_of], hashes, fps
+    return np.bincount(text_of, minlength=len(texts)), wanted - begins[text_of], hashes, (places[order], fps[order], keys[order])
 
 
 def _lines(texts: list[str]) -> dict:
-    """For each text its lines that count: (number, hash, fingerprint)."""
-    n, numbers, hashes, fps = hashed_lines(texts)
+    """For each text its lines that count: (number, hash, sketches)."""
+    n, numbers, hashes, (places, fps, keys) = sketched_lines(texts)
     offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
-    columns = [pa.array(numbers.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(fps.view(np.int64))]
-    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["line", "hash", "fp"]))}
+    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+    each = pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), bands], ["fp", "keys"])
+    sketches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(places, minlength=len(hashes)))].astype(np.int32)), each)
+    columns = [pa.array(numbers.astype(np.int32)), pa.array(hashes.view(np.int64)), sketches]
+    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["line", "hash", "s"]))}
 
 
 def normalised(line: str) -> str:
@@ -223,12 +286,15 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
 def _verified(hashes: np.ndarray, fps: np.ndarray, texts: list[str], bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected among the given lines, found by search from one to the unreached."""
     a, b = [], []
+    sizes = np.array([len(t) for t in texts])
+    few = np.array([t.count(" ") + 1 < CHARS_UNDER for t in texts])  # fingerprints of other features can't be compared
     rest = np.arange(len(hashes))
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             x = front.pop()
-            near = np.flatnonzero(np.bitwise_count(fps[rest] ^ fps[x]) <= bits)
+            longer = np.maximum(sizes[rest], sizes[x])
+            near = np.flatnonzero(((np.bitwise_count(fps[rest] ^ fps[x]) <= bits) | (few[rest] != few[x])) & (longer - np.minimum(sizes[rest], sizes[x]) <= (1 - similarity) * longer + 1e-9))
             got = [k for k in near.tolist() if similar(texts[x], texts[rest[k]], similarity)]
             if got:
                 reached = rest[got]
@@ -266,18 +332,6 @@ def _verifier(bits: int, similarity: float):
     return run
 
 
-def _expander(bits: int, agree: int):
-    def run(batches):
-        for b in batches:
-            fp = b.column("fp").to_numpy(zero_copy_only=False)
-            for at in range(0, len(fp), 8192):
-                part = fp[at : at + 8192]
-                keys = block_keys(part.view(np.uint64), bits, agree)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
-
-    return run
-
-
 #: A side of a join is broadcast up to this many entries of at most 40 bytes; beyond it both sides are shuffled.
 BROADCAST_ENTRIES = 500_000
 
@@ -305,14 +359,18 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """(hash, root) for the lines that link to another; ``distinct`` has (hash, fp, row, line), the place of one occurrence."""
-    fps = written(distinct.select("fp").distinct(), "line-fingerprints")
-    near = components(links(fps.mapInArrow(_expander(bits, blocks_to_agree(fps.count(), bits)), "key long, fp long"), bits))
+    """(hash, root) for the lines that link to another; ``distinct`` has (hash, s, row, line), sketches and the place of one occurrence."""
+    each = distinct.select(F.explode("s").alias("s")).select(F.explode("s.keys").alias("key"), "s.fp").select(F.col("key").cast("long").alias("key"), "fp")
+    both = distinct.where(F.size("s") > 1).select(F.col("s")[0]["fp"].alias("u"), F.col("s")[1]["fp"].alias("v"))
+    near = components(links(each, bits).unionAll(both))
     of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
+    distinct = distinct.select("hash", F.col("s")[0]["fp"].alias("fp"), "row", "line")
     # lines of one fingerprint (the same words in another order) are a group, too
     same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     of_fp = written(of_fp.unionAll(same.join(of_fp, "node", "left_anti").select("node", "root")), "line-fps")
     wanted = written(distinct.join(_sized(of_fp), distinct["fp"] == of_fp["node"]).select("row", "line", "hash", "fp", "root"), "line-places")
+    alone = written(wanted.groupBy("root").agg(F.count("*").alias("n")).where("n = 1").select("root"), "lone-lines")
+    wanted = wanted.join(_sized(alone), "root", "left_anti").select("row", "line", "hash", "fp", "root")
     sizes = wanted.groupBy("root").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
     dealt = _texts_of(docs, wanted).join(sizes, "root").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -327,10 +385,10 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILA
     ``row`` is the hash of id and text, so exactly repeated rows are one document.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    lines = written(map_texts(keyed, _lines, "l array<struct<line:int,hash:long,fp:long>>", ["doc_id", "row"]).select("doc_id", "row", F.inline("l")), "lines")
+    lines = written(map_texts(keyed, _lines, "l array<struct<line:int,hash:long,s:array<struct<fp:long,keys:array<int>>>>>", ["doc_id", "row"]).select("doc_id", "row", F.inline("l")), "lines")
     place = F.struct("doc_id", "row", "line")
-    distinct = written(lines.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("fp").alias("fp")), "distinct-lines")
-    roots = fuzzy_groups(docs, distinct.select("hash", "fp", "first.row", "first.line"), bits, similarity, together)
+    distinct = written(lines.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("s").alias("s")), "distinct-lines")
+    roots = fuzzy_groups(docs, distinct.select("hash", "s", "first.row", "first.line"), bits, similarity, together)
     roots = written(roots.unionAll(roots.select(F.col("root").alias("hash"), "root")).distinct(), "line-roots")
     shared = distinct.join(_sized(roots), "hash", "left").where("root is not null or first <> last").select("hash", F.coalesce("root", "hash").alias("root"), "first")
     shared = written(shared, "shared-lines")

@@ -163,6 +163,26 @@ def test_line_dedup_odd_rows(spark):
     assert report.count() == len(fixtures.odd_rows())
 
 
+def test_short_similar_lines_are_found(spark):
+    """Recall against plain edit similarity, with no limit on fingerprints."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))
+    pairs = []
+    while len(pairs) < 300:
+        words = [word() for _ in range(rng.choice((4, 5, 6, 7, 9, 12, 20)))]
+        other = list(words)
+        for _ in range(max(1, len(words) // 8)):
+            other[rng.randrange(len(other))] = word()
+        a, b = " ".join(words), " ".join(other)
+        if a != b and line_dedup.similar(a, b):
+            pairs.append((a, b))
+    docs = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(got[2 * i] == a for i, (a, _) in enumerate(pairs))
+    assert sum(got[2 * i + 1] == "" for i in range(len(pairs))) >= 0.97 * len(pairs)
+
+
 def test_edit_distance_bound():
     rng = random.Random(6)
 
