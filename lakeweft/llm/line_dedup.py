@@ -28,7 +28,7 @@ from lakeweft.llm.common import free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
-LEAST_WORDS, BITS, SIMILARITY = 4, 22, 0.8
+LEAST_WORDS, BITS, SIMILARITY = 1, 22, 0.8
 #: Lines of fewer than CHARS_UNDER words are sketched by three-byte runs, lines of WORDS_FROM words or more by words; between, by both.
 WORDS_FROM, CHARS_UNDER = 8, 13
 ROWS, BANDS = 3, 16

@@ -183,6 +183,12 @@ def test_short_similar_lines_are_found(spark):
     assert sum(got[2 * i + 1] == "" for i in range(len(pairs))) >= 0.97 * len(pairs)
 
 
+def test_exact_repeats_of_few_words_go(spark):
+    docs = [(1, "Read more\nx"), (2, "read  MORE\n\ny"), (3, "漢字" * 40 + "\nx")] + [(4, "漢字" * 40 + "\nOK")]
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "Read more\nx"), (2, "\ny"), (3, "漢字" * 40), (4, "OK")]
+
+
 def test_edit_distance_bound():
     rng = random.Random(6)
 
