@@ -38,7 +38,8 @@ PROVIDERS = {
 PROVIDER = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PROVIDERS.items()))
 #: A cheap look before the pattern above is tried.
 HINTS = ("gh", "xox", "AIza", "k_live_", "eyJ", "PRIVATE KEY")
-RANDOM = regex.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: ``=`` may stand before a value (KEY=value), behind it only as padding.
+RANDOM = regex.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 LEAST_ENTROPY = 3.5
 #: A value held by more owners than this is a widely copied example.
 MAX_OWNERS = 2

@@ -96,6 +96,14 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert masked[11] == "see [SECRET]" and masked[10] == "é [SECRET] [SECRET]" and masked[0] == rows[0][1]
 
 
+def test_values_assigned_without_blanks_are_found(spark):
+    lines = ["client_auth=Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0L", "aws_secret_access_key=wJalrXUtnFEMI7K9MDENGbPxRfiCYz1234KEYab", "https://x.example/?sig=Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0M&n=1", "k=Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6JkQ=="]
+    assert [[s[3] for s in secrets.more_spans(t)] for t in lines] == [[lines[0][12:]], [lines[1][22:]], [lines[2][23:54]], [lines[3][2:]]]
+    frame = spark.createDataFrame([(i, t, "o") for i, t in enumerate(lines)], "doc_id bigint, text string, source string")
+    assert all(r["n_live"] == 1 for r in secrets.secret_scan(frame).collect())
+    assert all(r["text"].count("[SECRET]") == 1 for r in secrets.redacted(frame).collect())
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     got = secrets.redacted(fixtures.odd(spark))
     assert got.columns == fixtures.odd(spark).columns and got.count() == len(fixtures.odd_rows())
