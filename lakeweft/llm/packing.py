@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweft.llm.bpe import MARKS, Memo
+from lakeweft.llm.bpe import MARKS, Memo, byte_letters
 from lakeweft.llm.common import map_texts, written
 
 CAPACITY = 4096
@@ -40,9 +40,14 @@ def _tokenizer(path: str):
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    encode = tok.encode
+    encode, merge = tok.encode, tok.model.tokenize
+    letter = {b: c for c, b in byte_letters().items()}
 
     def make(chunk: str) -> bytes:
+        """A lower-case word of letters up to U+00FF is one pre-token that no normaliser changes, so the model is asked at once."""
+        if chunk.isalpha() and chunk.islower() and max(chunk) <= "\xff":
+            word = chunk if chunk.isascii() else "".join(map(letter.__getitem__, chunk.encode()))
+            return array("I", [t.id for t in merge(word)]).tobytes()
         return array("I", encode(chunk, add_special_tokens=False).ids).tobytes()
 
     memo = Memo(make, 600_000)
