@@ -79,14 +79,9 @@ def _vector_topk(mode: str) -> Query:
 # ---- RDF -------------------------------------------------------------------------------
 
 
-#: The given SQL of some queries holds their graph to these customers; each has a ``_whole`` twin without.
-BOUND = "c_custkey < 300"
-
-
-def triples(spark, d, customers: str = "TRUE") -> DataFrame:
-    """nation, region and customer as triples, of the customers for which the condition holds."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    c = table(spark, d, "customer").filter(customers)
+def triples(spark, d) -> DataFrame:
+    """nation, region and customer as triples."""
+    n, r, c = (table(spark, d, x) for x in ("nation", "region", "customer"))
     iri = lambda kind, k: F.concat(F.lit(f"ex:{kind}"), k.cast("string"))
     rows = [
         n.select(iri("n", F.col("n_nationkey")).alias("s"), F.lit("ex:name").alias("p"), F.col("n_name").alias("o")),
@@ -102,25 +97,25 @@ def triples(spark, d, customers: str = "TRUE") -> DataFrame:
     return out
 
 
-def _sparql(query: str, customers: str = "TRUE") -> Query:
-    return lambda spark, d: Sparql(triples(spark, d, customers)).query(query)
+def _sparql(query: str) -> Query:
+    return lambda spark, d: Sparql(triples(spark, d)).query(query)
 
 
 _T = "(SELECT 'ex:n' || n_nationkey AS s, 'ex:in' AS p, 'ex:r' || n_regionkey AS o FROM nation)"
 
 RDF: dict[str, tuple[str, str]] = {
     "sparql_bgp": ("SELECT ?nn, ?rn WHERE { ?n <ex:in> ?r ; <ex:name> ?nn . ?r <ex:name> ?rn }", "SELECT n_name AS nn, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "sparql_optional": ("SELECT ?c, ?b WHERE { ?c <ex:nation> <ex:n3> . OPTIONAL { ?c <ex:balance> ?b } }", "SELECT 'ex:c' || c_custkey AS c, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS VARCHAR) END AS b FROM customer WHERE c_custkey < 300 AND c_nationkey = 3"),
-    "sparql_filter_exists": ("SELECT ?n WHERE { ?n <ex:in> ?r . FILTER NOT EXISTS { ?c <ex:nation> ?n } FILTER(?r != <ex:r0>) }", "SELECT 'ex:n' || n_nationkey AS n FROM nation WHERE n_regionkey <> 0 AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 300)"),
+    "sparql_optional": ("SELECT ?c, ?b WHERE { ?c <ex:nation> <ex:n3> . OPTIONAL { ?c <ex:balance> ?b } }", "SELECT 'ex:c' || c_custkey AS c, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS VARCHAR) END AS b FROM customer WHERE c_nationkey = 3"),
+    "sparql_filter_exists": ("SELECT ?n WHERE { ?n <ex:in> ?r . FILTER NOT EXISTS { ?c <ex:nation> ?n } FILTER(?r != <ex:r0>) }", "SELECT 'ex:n' || n_nationkey AS n FROM nation WHERE n_regionkey <> 0 AND n_nationkey NOT IN (SELECT c_nationkey FROM customer)"),
     "sparql_union_values": ("SELECT ?x, ?name WHERE { VALUES ?x { <ex:n1> <ex:r1> <ex:n2> } { ?x <ex:in> ?r . ?x <ex:name> ?name } UNION { ?x <ex:name> ?name . FILTER(STRSTARTS(?name, 'A')) } }", "SELECT 'ex:n' || n_nationkey AS x, n_name AS name FROM nation WHERE n_nationkey IN (1, 2) UNION ALL SELECT 'ex:r' || r_regionkey, r_name FROM region WHERE r_regionkey = 1 AND r_name LIKE 'A%'"),
-    "sparql_group": ("SELECT ?n, COUNT(?c) AS ?k, MAX(?b) AS ?top WHERE { ?c <ex:nation> ?n . ?c <ex:balance> ?b } GROUP BY ?n", "SELECT 'ex:n' || c_nationkey AS n, CAST(COUNT(*) AS VARCHAR) AS k, CASE WHEN MAX(c_acctbal) = floor(MAX(c_acctbal)) THEN CAST(CAST(MAX(c_acctbal) AS BIGINT) AS VARCHAR) ELSE CAST(MAX(c_acctbal) AS VARCHAR) END AS top FROM customer WHERE c_custkey < 300 AND c_acctbal > 0 GROUP BY c_nationkey"),
-    "sparql_order_limit": ("SELECT ?c, ?b WHERE { ?c <ex:balance> ?b } ORDER BY DESC(?b) LIMIT 7 OFFSET 2", "SELECT 'ex:c' || c_custkey AS c, CAST(c_acctbal AS VARCHAR) AS b FROM customer WHERE c_custkey < 300 AND c_acctbal > 0 ORDER BY c_acctbal DESC LIMIT 7 OFFSET 2"),
+    "sparql_group": ("SELECT ?n, COUNT(?c) AS ?k, MAX(?b) AS ?top WHERE { ?c <ex:nation> ?n . ?c <ex:balance> ?b } GROUP BY ?n", "SELECT 'ex:n' || c_nationkey AS n, CAST(COUNT(*) AS VARCHAR) AS k, CASE WHEN MAX(c_acctbal) = floor(MAX(c_acctbal)) THEN CAST(CAST(MAX(c_acctbal) AS BIGINT) AS VARCHAR) ELSE CAST(MAX(c_acctbal) AS VARCHAR) END AS top FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey"),
+    "sparql_order_limit": ("SELECT ?c, ?b WHERE { ?c <ex:balance> ?b } ORDER BY DESC(?b) LIMIT 7 OFFSET 2", "SELECT 'ex:c' || c_custkey AS c, CAST(c_acctbal AS VARCHAR) AS b FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC LIMIT 7 OFFSET 2"),
     "sparql_bind_functions": ("SELECT ?n, ?label WHERE { ?n <ex:in> <ex:r1> . ?n <ex:name> ?m . BIND(CONCAT(STR(?m), '/', STRLEN(?m)) AS ?label) FILTER(REGEX(?m, 'nation', 'i') && CONTAINS(?m, '_')) }", "SELECT 'ex:n' || n_nationkey AS n, n_name || '/' || length(n_name) AS label FROM nation WHERE n_regionkey = 1"),
-    "sparql_path_sequence": ("SELECT DISTINCT ?c, ?rn WHERE { ?c <ex:nation>/<ex:in>/<ex:name> ?rn }", "SELECT DISTINCT 'ex:c' || c_custkey AS c, r_name AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 300"),
+    "sparql_path_sequence": ("SELECT DISTINCT ?c, ?rn WHERE { ?c <ex:nation>/<ex:in>/<ex:name> ?rn }", "SELECT DISTINCT 'ex:c' || c_custkey AS c, r_name AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "sparql_path_plus": ("SELECT ?x, ?y WHERE { ?x <ex:next>+ ?y }", "WITH RECURSIVE r(x, y) AS (SELECT n_nationkey, n_nationkey // 2 FROM nation WHERE n_nationkey > 0 UNION SELECT r.x, r.y // 2 FROM r WHERE r.y > 0) SELECT 'ex:n' || x AS x, 'ex:n' || y AS y FROM r"),
     "sparql_path_star": ("SELECT ?y WHERE { <ex:n13> <ex:next>* ?y }", "WITH RECURSIVE r(y) AS (SELECT 13 UNION SELECT y // 2 FROM r WHERE y > 0) SELECT 'ex:n' || y AS y FROM r"),
-    "sparql_path_alternative": ("SELECT ?x, ?y WHERE { ?x <ex:in>|<ex:nation> ?y . FILTER(?y = <ex:r2> || ?y = <ex:n2>) }", "SELECT 'ex:n' || n_nationkey AS x, 'ex:r2' AS y FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'ex:c' || c_custkey, 'ex:n2' FROM customer WHERE c_custkey < 300 AND c_nationkey = 2"),
-    "sparql_subselect": ("SELECT ?name, ?k WHERE { { SELECT ?n, COUNT(?c) AS ?k WHERE { ?c <ex:nation> ?n } GROUP BY ?n } ?n <ex:name> ?name . FILTER(?k > 12) }", "SELECT n_name AS name, CAST(k AS VARCHAR) AS k FROM (SELECT c_nationkey, COUNT(*) AS k FROM customer WHERE c_custkey < 300 GROUP BY c_nationkey) JOIN nation ON c_nationkey = n_nationkey WHERE k > 12"),
+    "sparql_path_alternative": ("SELECT ?x, ?y WHERE { ?x <ex:in>|<ex:nation> ?y . FILTER(?y = <ex:r2> || ?y = <ex:n2>) }", "SELECT 'ex:n' || n_nationkey AS x, 'ex:r2' AS y FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'ex:c' || c_custkey, 'ex:n2' FROM customer WHERE c_nationkey = 2"),
+    "sparql_subselect": ("SELECT ?name, ?k WHERE { { SELECT ?n, COUNT(?c) AS ?k WHERE { ?c <ex:nation> ?n } GROUP BY ?n } ?n <ex:name> ?name . FILTER(?k > 12) }", "SELECT n_name AS name, CAST(k AS VARCHAR) AS k FROM (SELECT c_nationkey, COUNT(*) AS k FROM customer GROUP BY c_nationkey) JOIN nation ON c_nationkey = n_nationkey WHERE k > 12"),
     "sparql_ask": ("ASK { <ex:n1> <ex:in> ?r }", "SELECT TRUE AS ask"),
     "sparql_construct": ("CONSTRUCT { ?r <ex:holds> ?n } WHERE { ?n <ex:in> ?r }", "SELECT 'ex:r' || n_regionkey AS s, 'ex:holds' AS p, 'ex:n' || n_nationkey AS o FROM nation"),
 }
@@ -262,11 +257,10 @@ DIRECT: dict[str, tuple[Query, str | None]] = {
 
 
 def queries() -> dict[str, Query]:
-    out = {n: text(sql) for n, (sql, _) in TEXTS.items()} | {n: _sparql(q, BOUND if BOUND in o else "TRUE") for n, (q, o) in RDF.items()}
-    return out | {f"{n}_whole": _sparql(q) for n, (q, o) in RDF.items() if BOUND in o} | {n: q for n, (q, _) in DIRECT.items()}
+    out = {n: text(sql) for n, (sql, _) in TEXTS.items()} | {n: _sparql(q) for n, (q, _) in RDF.items()}
+    return out | {n: q for n, (q, _) in DIRECT.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: oracle or sql for n, (sql, oracle) in TEXTS.items()} | {n: o for n, (_, o) in RDF.items()}
-    out |= {f"{n}_whole": o.replace(BOUND, "TRUE") for n, (_, o) in RDF.items() if BOUND in o}
     return out | {n: o for n, (_, o) in DIRECT.items() if o}
