@@ -1,77 +1,44 @@
 """Operator 5: fuzzy line dedup over the whole corpus.
 
 Every non-blank line is normalised (lower case, one space between words).  Exact repeats
-share a hash.  For the others a line of few words is taken as its set of three-byte runs, a
-longer one as its set of words (between, both): the set gets a 64-bit SimHash and ``BANDS``
-keys of ``ROWS`` MinHash values each.  Two lines are candidates if they share a key and their
-fingerprints are at most ``BITS`` bits apart, and linked if their edit similarity,
+share a 128-bit hash.  For the others a line of few words is taken as its set of four-byte
+runs, a longer one as its set of words (between, both): the set gets a 64-bit SimHash and
+``BANDS`` keys of a few MinHash values each.  Two lines are candidates if they share a key and
+their fingerprints are at most ``BITS`` bits apart, and linked if their edit similarity,
 1 - Levenshtein / longer length, is at least ``SIMILARITY``.  One occurrence of each connected
 group stays, the one of the smallest (doc_id, line).  Blank lines always stay.
 
 Edit similarity is verified only inside groups that candidates connect, and there only
 from a line to those not reached yet, so no group's pairs are all listed.  A group of more than
-``TOGETHER`` lines is verified in pairs of blocks by as many tasks.
+``TOGETHER`` lines is first held against a few leaders; only lines that no chain through leaders
+connects are then compared with one another, in pairs of blocks by as many tasks.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweft.llm.common import free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
-LEAST_WORDS, BITS, SIMILARITY = 1, 22, 0.8
-#: Lines of fewer than CHARS_UNDER words are sketched by three-byte runs, lines of WORDS_FROM words or more by words; between, by both.
-WORDS_FROM, CHARS_UNDER = 8, 13
-ROWS, BANDS = 3, 16
-TOGETHER = 512
+BITS, SIMILARITY = 20, 0.8
+#: Lines of fewer than CHARS_UNDER words are sketched by four-byte runs, lines of WORDS_FROM words or more by words; between, by both.
+WORDS_FROM, CHARS_UNDER = 8, 10
+#: MinHash values in a key, for runs and for words, and keys of a sketch.
+RUN_ROWS, WORD_ROWS, BANDS = 3, 4, 12
+TOGETHER, LEADERS = 256, 8
 _WORDS_AT_ONCE = 1 << 14
 
 
-def _blocks(bits: int, agree: int) -> list[tuple[int, int]]:
-    edges = np.linspace(0, 64, bits + agree + 1).round().astype(int).tolist()
-    return list(itertools.pairwise(edges))
-
-
-def block_keys(fp: np.ndarray, bits: int = BITS, agree: int = 2) -> np.ndarray:
-    """One key for each choice of ``agree`` blocks of ``bits + agree``: the choice's number, then its bits.
-
-    Fingerprints at most ``bits`` apart agree wholly in some choice.
-    """
-    blocks = _blocks(bits, agree)
-    width = max(b - a for a, b in blocks)
-    parts = [(fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in blocks]
-    choices = list(itertools.combinations(parts, agree))
-    out = np.empty((len(fp), len(choices)), np.int64)
-    for k, chosen in enumerate(choices):
-        key = np.zeros(len(fp), np.uint64)
-        for x in chosen:
-            key = key << np.uint64(width) | x
-        out[:, k] = key.astype(np.int64) | (k << (agree * width))
-    return out
-
-
-def blocks_to_agree(n: int, bits: int) -> int:
-    """How many blocks a key takes so that few of ``n`` fingerprints share one by chance.
-
-    Any number finds the same links; more blocks make more keys of fewer rows each.
-    """
-    agree = 2
-    while agree < 4 and n > 64 << (64 * agree // (bits + agree)):
-        agree += 1
-    return agree
-
-
 #: An odd base of the rolling sum, its inverse modulo 2**64, and the constants of the splitmix64 mixer.
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _UNDO = pow(_BASE, -1, 1 << 64)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
@@ -116,24 +83,18 @@ def _simhashes(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def hashed_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lines in each text that count, their numbers, hashes and first fingerprints)."""
-    n, numbers, hashes, sketches = sketched_lines(texts)
-    return n, numbers, hashes, sketches[1][np.unique(sketches[0], return_index=True)[1]]
-
-
-def _bands(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A key for each of ``BANDS`` groups of ``ROWS`` MinHash values of each run of ``features``."""
+def _bands(features: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each of ``BANDS`` groups of ``rows`` MinHash values of each run of ``features``."""
     first = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), BANDS), np.int32)
+    out = np.empty((len(sizes), BANDS), np.int64)
     for band in range(BANDS):
         key = np.full(len(sizes), band + 1, np.uint64)
-        for row in range(ROWS):
-            odd = np.uint64(int(_mixed(np.array([band * ROWS + row + 1], np.uint64))[0]) | 1)
+        for row in range(rows):
+            odd = np.uint64(int(_mixed(np.array([band * rows + row + 1], np.uint64))[0]) | 1)
             x = features * odd
             x ^= x >> np.uint64(32)
             key = _mixed(key * np.uint64(_BASE) + np.minimum.reduceat(x, first))
-        out[:, band] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out[:, band] = key.view(np.int64)
     return out
 
 
@@ -152,11 +113,27 @@ def _distinct_features(features: np.ndarray, rank: np.ndarray, lines: int) -> tu
     return _mixed(distinct + np.uint64(_BASE)), np.bincount(rank, minlength=lines)
 
 
+def _runs_of(raw: np.ndarray, white: np.ndarray, line_no: np.ndarray, start: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of each four-byte run of the normalised bytes, a blank before each word, of the ``short`` lines."""
+    used = ~white
+    used[start - 1] = True
+    spots = np.flatnonzero(used)
+    blank = white[spots]
+    owner = line_no[spots + blank]  # the blank may be the end of the line before
+    spots, blank, owner = (x[short[owner]] for x in (spots, blank, owner))
+    byte = np.where(blank, 32, raw[spots]).astype(np.uint64)
+    if len(byte) < 4:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    inside = owner[3:] == owner[:-3]
+    runs = byte[:-3] << np.uint64(24) | byte[1:-2] << np.uint64(16) | byte[2:-1] << np.uint64(8) | byte[3:]
+    return _mixed(runs[inside] + np.uint64(1)), owner[3:][inside]
+
+
 def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(lines in each text that count, their numbers, hashes, sketches), without an object per word.
+    """(non-blank lines in each text, their numbers, hashes, sketches), without an object per word.
 
     The bytes of all texts are one array.  Word hashes are differences of a rolling sum; a
-    line's hash is a sum over its words' hashes by place.  Sketches are (place of the line,
+    line's two hashes are sums over its words' hashes by place.  Sketches are (place of the line,
     fingerprint, band keys), one or two for each line, in the order of lines.
     """
     raw = np.frombuffer(("\n" + "\n".join(t.lower() for t in texts)).encode("utf-8", "replace"), np.uint8)
@@ -170,62 +147,50 @@ def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     line_no = np.cumsum(raw == 10) - 1
     of_line = line_no[start]
     count = np.bincount(of_line, minlength=int(per_text.sum()))
-    wanted = np.flatnonzero(count >= LEAST_WORDS)
+    wanted = np.flatnonzero(count)
     sizes = count[wanted]
     at = np.full(len(count), -1, np.int64)
     at[wanted] = np.arange(len(wanted))
-    places, fps, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty((0, BANDS), np.int32)]
+    places, fps, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty((0, BANDS), np.int64)]
+    hashes = np.empty((0, 2), np.uint64)
     if len(wanted):
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(words)) - np.repeat(first, sizes)
-        hashes = _mixed(np.add.reduceat(words * _powers_to(_BASE, int(sizes.max()))[place], first) + sizes.astype(np.uint64))
-        # the normalised bytes: a blank before each word, of lines of few words alone
-        used = ~white
-        used[start - 1] = True
-        used &= (count < CHARS_UNDER)[np.maximum(line_no, 0)] | (raw == 10)
-        used[start - 1] &= count[of_line] < CHARS_UNDER
-        spots = np.flatnonzero(used)
-        byte = np.where(white[spots], 32, raw[spots]).astype(np.uint64)
-        owner = np.where(white[spots], line_no[np.minimum(spots + 1, n - 1)], line_no[spots])
-        few = count[owner] > 0
-        byte, owner = byte[few], owner[few]
-        if len(byte) > 2:
-            inside = owner[2:] == owner[:-2]
-            grams = _mixed((byte[:-2] << np.uint64(16) | byte[1:-1] << np.uint64(8) | byte[2:]) + np.uint64(1))[inside]
-            grams_of = owner[2:][inside]
-        else:
-            grams, grams_of = np.empty(0, np.uint64), np.empty(0, np.int64)
+        whole = lambda base: _mixed(np.add.reduceat(words * _powers_to(base, int(sizes.max()))[place], first) + sizes.astype(np.uint64))
+        hashes = np.stack([whole(_BASE), whole(_OTHER_BASE)], 1)
         many = count[of_line] >= WORDS_FROM
-        for features, owner in ((grams, grams_of), (words[many], of_line[many])):
+        sets = ((RUN_ROWS, *_runs_of(raw, white, line_no, start, count < CHARS_UNDER)), (WORD_ROWS, words[many], of_line[many]))
+        for rows, features, owner in sets:
             if not len(features):
                 continue
             lines, rank = np.unique(owner, return_inverse=True)
             distinct, each = _distinct_features(features, rank, len(lines))
             places.append(at[lines])
             fps.append(_simhashes(distinct, each))
-            keys.append(_bands(distinct, each))
-    else:
-        hashes = np.empty(0, np.uint64)
+            keys.append(_bands(distinct, each, rows))
     places, fps, keys = (np.concatenate(x) for x in (places, fps, keys))
-    # a line of one byte has no three; its hash stands in
+    # a line of under three bytes has no run; its hash stands in
     bare = np.setdiff1d(np.arange(len(wanted)), places)
-    places, fps = np.r_[places, bare], np.r_[fps, hashes[bare]]
-    keys = np.concatenate([keys, np.repeat((hashes[bare] >> np.uint64(32)).astype(np.uint32).view(np.int32)[:, None], BANDS, 1)])
+    places, fps = np.r_[places, bare], np.r_[fps, hashes[bare, 0]]
+    keys = np.concatenate([keys, np.repeat(hashes[bare, 1].view(np.int64)[:, None], BANDS, 1)])
     order = np.argsort(places, kind="stable")
     begins = np.cumsum(per_text) - per_text
     text_of = np.searchsorted(begins, wanted, "right") - 1
     return np.bincount(text_of, minlength=len(texts)), wanted - begins[text_of], hashes, (places[order], fps[order], keys[order])
 
 
+LINES = "l array<struct<line:int,h1:long,h2:long,s:array<struct<fp:long,keys:array<long>>>>>"
+
+
 def _lines(texts: list[str]) -> dict:
-    """For each text its lines that count: (number, hash, sketches)."""
+    """For each text its non-blank lines: (number, hash, sketches)."""
     n, numbers, hashes, (places, fps, keys) = sketched_lines(texts)
     offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
     bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
     each = pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), bands], ["fp", "keys"])
     sketches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(places, minlength=len(hashes)))].astype(np.int32)), each)
-    columns = [pa.array(numbers.astype(np.int32)), pa.array(hashes.view(np.int64)), sketches]
-    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["line", "hash", "s"]))}
+    h1, h2 = (pa.array(np.ascontiguousarray(hashes[:, k]).view(np.int64)) for k in (0, 1))
+    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(numbers.astype(np.int32)), h1, h2, sketches], ["line", "h1", "h2", "s"]))}
 
 
 def normalised(line: str) -> str:
@@ -283,51 +248,91 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return distance_within(a, b, int((1 - similarity) * longer + 1e-9))
 
 
-def _verified(hashes: np.ndarray, fps: np.ndarray, texts: list[str], bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected among the given lines, found by search from one to the unreached."""
+def _candidates(fps: np.ndarray, few: np.ndarray, sizes: np.ndarray, x: tuple, bits: int, similarity: float) -> list[int]:
+    """Places of the lines that may be similar to line ``x``, given as (fingerprint, few, size)."""
+    fp, of_few, size = x
+    longer = np.maximum(sizes, size)
+    near = (np.bitwise_count(fps ^ fp) <= bits) | (few != of_few)  # fingerprints of other features can't be compared
+    return np.flatnonzero(near & (longer - np.minimum(sizes, size) <= (1 - similarity) * longer + 1e-9)).tolist()
+
+
+def _facts(fps: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    few = np.array([t.count(" ") + 1 < CHARS_UNDER for t in texts], bool)
+    return np.array(fps, np.int64).view(np.uint64), few, np.array([len(t) for t in texts], np.int64)
+
+
+def _verified(ids: np.ndarray, fps: np.ndarray, few: np.ndarray, sizes: np.ndarray, texts: list[str], labels: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is connected among the given lines, found by search from one to the unreached.
+
+    Lines of one label from 0 on are known to be connected and are not compared with one another.
+    """
     a, b = [], []
-    sizes = np.array([len(t) for t in texts])
-    few = np.array([t.count(" ") + 1 < CHARS_UNDER for t in texts])  # fingerprints of other features can't be compared
-    rest = np.arange(len(hashes))
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+    rest, front = np.arange(len(ids)), []
+
+    def reach(places: np.ndarray) -> None:
+        nonlocal rest
+        known = np.unique(labels[places])
+        more = np.isin(rest, places) | np.isin(labels[rest], known[known >= 0])
+        front.extend(rest[more].tolist())
+        rest = rest[~more]
+
+    while len(rest):
+        reach(rest[:1])
         while front and len(rest):
             x = front.pop()
-            longer = np.maximum(sizes[rest], sizes[x])
-            near = np.flatnonzero(((np.bitwise_count(fps[rest] ^ fps[x]) <= bits) | (few[rest] != few[x])) & (longer - np.minimum(sizes[rest], sizes[x]) <= (1 - similarity) * longer + 1e-9))
-            got = [k for k in near.tolist() if similar(texts[x], texts[rest[k]], similarity)]
+            got = [k for k in _candidates(fps[rest], few[rest], sizes[rest], (fps[x], few[x], sizes[x]), bits, similarity) if similar(texts[x], texts[rest[k]], similarity)]
             if got:
-                reached = rest[got]
-                a += [hashes[x]] * len(got)
-                b += hashes[reached].tolist()
-                front += reached.tolist()
-                rest = np.delete(rest, got)
+                a += [ids[x]] * len(got)
+                b += ids[rest[got]].tolist()
+                reach(rest[got])
+        front = []
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
 def _verifier(bits: int, similarity: float):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """Links within each run of equal keys of (key, id, fp, text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list = []
-        group, last = ([], [], []), None
+        group, last = ([], [], [], []), None
 
         def close():
-            h, f, t = group
-            if len(h) > 1:
-                found.append(_verified(np.array(h, np.int64), np.array(f, np.int64).view(np.uint64), t, bits, similarity))
+            ids, fps, texts, labels = group
+            if len(ids) > 1:
+                known = {x: k for k, x in enumerate(sorted({x for x in labels if x is not None}))}
+                found.append(_verified(np.array(ids, np.int64), *_facts(fps, texts), texts, np.array([known.get(x, -1) for x in labels], np.int64), bits, similarity))
 
         for b in batches:
-            for key, h, f, t in zip(*(b.column(c).to_pylist() for c in ("key", "hash", "fp", "text")), strict=True):
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "fp", "text", "label")), strict=True):
                 if key != last:
                     close()
-                    group, last = ([], [], []), key
-                for part, x in zip(group, (h, f, t), strict=True):
+                    group, last = ([], [], [], []), key
+                for part, x in zip(group, row, strict=True):
                     part.append(x)
         close()
         if found:
             x, y = contract(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=LINKS)
+
+    return run
+
+
+def _follower(bits: int, similarity: float):
+    """The leaders that reach each row of (root, id, fp, text, leaders); a leader reaches itself."""
+    names = ["root", "id", "fp", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fps, texts, leaders = (b.column(c).to_pylist() for c in ("id", "fp", "text", "leaders"))
+            facts, out = _facts(fps, texts), []
+            for i, (own, text, chosen) in enumerate(zip(ids, texts, leaders, strict=True)):
+                known = _facts([x["fp"] for x in chosen], [x["text"] for x in chosen])
+                near = set(_candidates(*known, tuple(x[i] for x in facts), bits, similarity))
+                out.append([x["id"] for k, x in enumerate(chosen) if x["id"] == own or k in near and similar(text, x["text"], similarity)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(pa.int64()))], [*names, "by"])
 
     return run
 
@@ -341,61 +346,102 @@ def _sized(side: DataFrame, entries: int | None = None) -> DataFrame:
     return F.broadcast(side) if (side.count() if entries is None else entries) <= BROADCAST_ENTRIES else side
 
 
+def _row(names: tuple[str, str] = ("row", "row2")) -> list:
+    """128 bits that tell a row by its id and text."""
+    return [F.xxhash64("doc_id", "text").alias(names[0]), F.xxhash64("text", "doc_id").alias(names[1])]
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(hash, fp, root, text): the normalised lines of ``wanted`` (row, line, hash, fp, root), read from their documents."""
-    by_row = written(wanted.groupBy("row").agg(F.collect_list(F.struct("line", "hash", "fp", "root")).alias("w")), "wanted-lines")
+    """(id, fp, root, text): the normalised lines of ``wanted`` (row, row2, line, id, fp, root), read from their documents."""
+    by_row = written(wanted.groupBy("row", "row2").agg(F.collect_list(F.struct("line", "id", "fp", "root")).alias("w")), "wanted-lines")
     entries = by_row.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
-    joined = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(_sized(by_row, entries), "row").select("text", "w")
+    joined = docs.select(*_row(), "text").join(_sized(by_row, entries), ["row", "row2"]).select("text", "w")
 
     def run(batches):
         for b in batches:
             rows = []
             for t, w in zip(b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
                 lines = (t or "").split("\n")
-                rows += [(x["hash"], x["fp"], x["root"], normalised(lines[x["line"]])) for x in w]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["hash", "fp", "root", "text"])
+                rows += [(x["id"], x["fp"], x["root"], normalised(lines[x["line"]])) for x in w]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "fp", "root", "text"])
+
+    return joined.mapInArrow(run, "id long, fp long, root long, text string").dropDuplicates(["id"])
 
-    return joined.mapInArrow(run, "hash long, fp long, root long, text string").dropDuplicates(["hash"])
+
+def _links_of_large(large: DataFrame, bits: int, similarity: float, together: int) -> tuple[DataFrame, DataFrame]:
+    """(links, blocks to verify) of groups of more than ``together`` lines (root, id, fp, text).
+
+    Every line is held against LEADERS lines of its group, which takes rows of the group's size.
+    Lines that share leaders are connected; a label tells them.  Lines of different labels, and
+    those no leader reached, still have to be compared, so no link is lost: in pairs of blocks.
+    """
+    spread = Window.partitionBy("root").orderBy(F.xxhash64("id"), "id")
+    some = large.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= LEADERS)
+    leaders = written(some.groupBy(F.col("root").alias("of")).agg(F.collect_list(F.struct("id", "fp", "text")).alias("leaders")), "leaders")
+    seen = written(large.join(leaders, large["root"] == leaders["of"]).drop("of").mapInArrow(_follower(bits, similarity), "root long, id long, fp long, text string, by array<long>"), "followers")
+    first = seen.select(F.explode("by").alias("u"), F.col("id").alias("v")).where("u <> v")
+    met = written(components(seen.where("size(by) > 1").select(F.col("by")[0].alias("u"), F.explode(F.slice("by", 2, LEADERS)).alias("v"))).select("node", F.col("root").alias("chief")), "leaders-met")
+    named = seen.withColumn("leader", F.get("by", F.lit(0))).join(_sized(met), F.col("leader") == F.col("node"), "left")
+    members = written(named.select("root", "id", "fp", "text", F.coalesce("chief", "leader").alias("label")), "labelled-lines")
+    sizes = members.groupBy(F.col("root").alias("of"), "label").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("n"))
+    # at most LEADERS + 1 labels a group; a group of one label is done
+    labels = written(sizes.groupBy("of").agg(F.collect_list(F.struct("label", "n")).alias("l")).where("size(l) > 1 or l[0].label is null"), "labels")
+    sized = members.join(_sized(labels), F.col("root") == F.col("of"))
+    spell = lambda label, block: F.concat_ws(":", F.coalesce(label.cast("string"), F.lit("-")), block)
+    own = F.filter("l", lambda x: x["label"].eqNullSafe(F.col("label")))[0]["n"]
+    others = F.filter("l", lambda x: x["label"].isNull() | ~x["label"].eqNullSafe(F.col("label")))
+    sized = sized.withColumn("mine", spell(F.col("label"), F.pmod(F.xxhash64("id"), own)))
+    dealt = sized.withColumn("other", F.explode(others)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("other.n") - 1))).withColumn("theirs", spell(F.col("other.label"), F.col("k")))
+    return first, dealt.select(F.xxhash64("root", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "id", "fp", "text", "label")
 
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """(hash, root) for the lines that link to another; ``distinct`` has (hash, s, row, line), sketches and the place of one occurrence."""
-    each = distinct.select(F.explode("s").alias("s")).select(F.explode("s.keys").alias("key"), "s.fp").select(F.col("key").cast("long").alias("key"), "fp")
+    """(id, root) for the lines that link to another; ``distinct`` has (id, s, row, row2, line), sketches and the place of one occurrence."""
+    each = distinct.select(F.explode("s").alias("s")).select(F.explode("s.keys").alias("key"), "s.fp")
     both = distinct.where(F.size("s") > 1).select(F.col("s")[0]["fp"].alias("u"), F.col("s")[1]["fp"].alias("v"))
     near = components(links(each, bits).unionAll(both))
     of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
-    distinct = distinct.select("hash", F.col("s")[0]["fp"].alias("fp"), "row", "line")
+    distinct = distinct.select("id", F.col("s")[0]["fp"].alias("fp"), "row", "row2", "line")
     # lines of one fingerprint (the same words in another order) are a group, too
     same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     of_fp = written(of_fp.unionAll(same.join(of_fp, "node", "left_anti").select("node", "root")), "line-fps")
-    wanted = written(distinct.join(_sized(of_fp), distinct["fp"] == of_fp["node"]).select("row", "line", "hash", "fp", "root"), "line-places")
-    alone = written(wanted.groupBy("root").agg(F.count("*").alias("n")).where("n = 1").select("root"), "lone-lines")
-    wanted = wanted.join(_sized(alone), "root", "left_anti").select("row", "line", "hash", "fp", "root")
-    sizes = wanted.groupBy("root").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
-    dealt = _texts_of(docs, wanted).join(sizes, "root").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "hash", "fp", "text")
-    found = keyed.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(_verifier(bits, similarity), "u long, v long")
-    return components(found).select(F.col("node").alias("hash"), "root")
+    wanted = written(distinct.join(_sized(of_fp), distinct["fp"] == of_fp["node"]).select("row", "row2", "line", "id", "fp", "root"), "line-places")
+    sizes = written(wanted.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "of").where("n > 1"), "line-groups")
+    kept = wanted.join(_sized(sizes), F.col("root") == F.col("of")).select("row", "row2", "line", "id", "fp", "root", "n")
+    texts = written(_texts_of(docs, kept), "line-texts")
+    big, none = sizes.where(F.col("n") > together).select("of"), F.lit(None).cast("long").alias("label")
+    if big.isEmpty():
+        return _verified_groups(texts.select(F.col("root").alias("key"), "id", "fp", "text", none), bits, similarity, None)
+    big = written(big, "large-roots")
+    small = texts.join(_sized(big), F.col("root") == F.col("of"), "left_anti")
+    first, blocks = _links_of_large(texts.join(_sized(big), F.col("root") == F.col("of"), "left_semi"), bits, similarity, together)
+    return _verified_groups(small.select(F.col("root").alias("key"), "id", "fp", "text", none).unionByName(blocks), bits, similarity, first)
+
+
+def _verified_groups(keyed: DataFrame, bits: int, similarity: float, more: DataFrame | None) -> DataFrame:
+    found = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_verifier(bits, similarity), "u long, v long")
+    return components(found if more is None else found.unionAll(more)).select(F.col("node").alias("id"), "root")
 
 
 def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """(row, drop): for each document that loses lines, its key and the numbers (from 0) of those lines.
+    """(row, row2, drop): for each document that loses lines, its key and the numbers (from 0) of those lines.
 
-    ``row`` is the hash of id and text, so exactly repeated rows are one document.
+    The key is 128 bits of id and text, so exactly repeated rows are one document.
     """
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    lines = written(map_texts(keyed, _lines, "l array<struct<line:int,hash:long,s:array<struct<fp:long,keys:array<int>>>>>", ["doc_id", "row"]).select("doc_id", "row", F.inline("l")), "lines")
-    place = F.struct("doc_id", "row", "line")
-    distinct = written(lines.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("s").alias("s")), "distinct-lines")
-    roots = fuzzy_groups(docs, distinct.select("hash", "s", "first.row", "first.line"), bits, similarity, together)
-    roots = written(roots.unionAll(roots.select(F.col("root").alias("hash"), "root")).distinct(), "line-roots")
-    shared = distinct.join(_sized(roots), "hash", "left").where("root is not null or first <> last").select("hash", F.coalesce("root", "hash").alias("root"), "first")
+    keyed = docs.select("doc_id", *_row(), "text")
+    lines = written(map_texts(keyed, _lines, LINES, ["doc_id", "row", "row2"]).select("doc_id", "row", "row2", F.inline("l")), "lines")
+    place = F.struct("doc_id", "row", "row2", "line")
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("s").alias("s"))
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+    roots = fuzzy_groups(docs, distinct.select("id", "s", "first.row", "first.row2", "first.line"), bits, similarity, together)
+    roots = written(roots.unionAll(roots.select(F.col("root").alias("id"), "root")).distinct().withColumnRenamed("id", "node"), "line-roots")
+    places = distinct.select("id", "h1", "h2", "first", (F.col("first") != F.col("last")).alias("again"))
+    shared = places.join(_sized(roots), F.col("id") == F.col("node"), "left").where("root is not null or again").select("h1", "h2", F.coalesce("root", "id").alias("root"), "first")
     shared = written(shared, "shared-lines")
     kept = written(shared.groupBy("root").agg(F.min("first").alias("kept")), "kept-places")  # a plain shuffle for the join, which can be split
-    of_hash = written(shared.join(kept, "root").select("hash", "kept"), "kept-lines")
-    gone = lines.select("row", "line", "hash", place.alias("here")).join(_sized(of_hash), "hash").where(~F.col("here").eqNullSafe(F.col("kept")))
-    return gone.groupBy("row").agg(F.collect_set("line").alias("drop"))
+    of_hash = written(shared.join(kept, "root").select("h1", "h2", "kept"), "kept-lines")
+    gone = lines.select("row", "row2", "line", "h1", "h2", place.alias("here")).join(_sized(of_hash), ["h1", "h2"]).where(~F.col("here").eqNullSafe(F.col("kept")))
+    return gone.groupBy("row", "row2").agg(F.collect_set("line").alias("drop"))
 
 
 def without_lines(text: str | None, drop: list[int]) -> str | None:
@@ -411,10 +457,10 @@ def line_dedup(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY
     document: they lose the same lines.  A ``n_chars`` column of documents is not recounted here.
     """
     names = docs.columns
-    row, drop = free_name("row", names), free_name("drop", names)
-    drops = written(repeated_lines(docs, bits, similarity, together).withColumnsRenamed({"row": row, "drop": drop}), "dropped-lines")
+    row, row2, drop = (free_name(x, names) for x in ("row", "other", "drop"))
+    drops = written(repeated_lines(docs, bits, similarity, together).withColumnsRenamed({"row": row, "row2": row2, "drop": drop}), "dropped-lines")
     entries = drops.agg(F.coalesce(F.sum(F.size(drop) + 4), F.lit(0))).first()[0] // 4
-    joined = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(_sized(drops, entries), row, "left")
+    joined = docs.select("*", *_row((row, row2))).join(_sized(drops, entries), [row, row2], "left")
 
     def run(batches):
         for b in batches:
