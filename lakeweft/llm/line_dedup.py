@@ -2,8 +2,8 @@
 
 Every non-blank line is normalised (lower case, one space between words).  Exact repeats
 share a 128-bit hash.  For the others a line of few words is taken as its set of four-byte
-runs, a longer one as its set of words (between, both): the set gets a 64-bit SimHash and
-``BANDS`` keys of a few MinHash values each.  Two lines are candidates if they share a key and
+runs, a longer one as its words and word pairs (between, both): they give a 64-bit SimHash,
+runs or pairs give ``BANDS`` keys of a few MinHash values each.  Two lines are candidates if they share a key and
 their fingerprints are at most ``BITS`` bits apart, and linked if their edit similarity,
 1 - Levenshtein / longer length, is at least ``SIMILARITY``.  One occurrence of each connected
 group stays, the one of the smallest (doc_id, line).  Blank lines always stay.
@@ -11,7 +11,7 @@ group stays, the one of the smallest (doc_id, line).  Blank lines always stay.
 Edit similarity is verified only inside groups that candidates connect, and there only
 from a line to those not reached yet, so no group's pairs are all listed.  A group of more than
 ``TOGETHER`` lines is first held against a few leaders; only lines that no chain through leaders
-connects are then compared with one another, in pairs of blocks by as many tasks.
+connects are then compared with one another, where they share a key, in pairs of blocks by as many tasks.
 """
 
 from __future__ import annotations
@@ -28,13 +28,12 @@ from lakeweft.llm.common import free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
-BITS, SIMILARITY = 20, 0.8
+BITS, SIMILARITY = 18, 0.8
 #: Lines of fewer than CHARS_UNDER words are sketched by four-byte runs, lines of WORDS_FROM words or more by words; between, by both.
-WORDS_FROM, CHARS_UNDER = 8, 10
-#: MinHash values in a key, for runs and for words, and keys of a sketch.
-RUN_ROWS, WORD_ROWS, BANDS = 3, 4, 12
+WORDS_FROM, CHARS_UNDER = 8, 13
+#: MinHash values in a key, for runs and for word pairs, and keys of a sketch.
+RUN_ROWS, PAIR_ROWS, BANDS = 3, 2, 12
 TOGETHER, LEADERS = 256, 8
-_WORDS_AT_ONCE = 1 << 14
 
 
 #: An odd base of the rolling sum, its inverse modulo 2**64, and the constants of the splitmix64 mixer.
@@ -62,38 +61,50 @@ def _powers_to(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(16, int(n).bit_length()))[:n]
 
 
-def _simhashes(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SimHash of each run of ``features``: a bit is 1 if it is set in over half of them."""
-    out = np.zeros(len(sizes), np.uint64)
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    ends = np.cumsum(sizes)
-    bits = lambda a, b: np.unpackbits(features[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at = 0
-    while at < len(sizes):
-        start = int(ends[at] - sizes[at])
-        to = max(at + 1, int(np.searchsorted(ends, start + _WORDS_AT_ONCE, "right")))
-        if to == at + 1:  # may be a very long line
-            counts = np.zeros((1, 64), np.int64)
-            for k in range(start, int(ends[at]), _WORDS_AT_ONCE):
-                counts += bits(k, min(k + _WORDS_AT_ONCE, int(ends[at]))).sum(0, dtype=np.int64)
-        else:
-            counts = np.add.reduceat(bits(start, int(ends[to - 1])), ends[at:to] - sizes[at:to] - start, axis=0, dtype=np.int32)
-        out[at:to] = ((2 * counts > sizes[at:to, None]) * weights).sum(1, dtype=np.uint64)
-        at = to
+#: The bits of a byte as eight bytes of one word, and how many such words add up without overflow.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+_MOST = 255
+
+
+def _bit_counts(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of ``features`` how many have each of the 64 bits set.
+
+    Eight counters lie in one word, so a run is added up in parts of at most ``_MOST``.
+    """
+    parts = -(-sizes // _MOST)
+    first = np.cumsum(parts) - parts
+    within = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    begins = np.repeat(np.cumsum(sizes) - sizes, parts) + within * _MOST
+    octets = features.view(np.uint8).reshape(-1, 8)
+    out = np.empty((len(sizes), 64), np.int64)
+    for k in range(8):
+        sums = np.add.reduceat(_SPREAD.take(octets[:, k]), begins).view(np.uint8).reshape(-1, 8)
+        out[:, 8 * k : 8 * k + 8] = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
     return out
 
 
+def _simhashes(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHashes: a bit is 1 if it is set in over half of the features."""
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return ((2 * counts > sizes[:, None]) * weights).sum(1, dtype=np.uint64)
+
+
+@lru_cache(maxsize=4)
+def _factors(n: int) -> list[np.uint32]:
+    return [np.uint32(int(x) >> 32 | 1) for x in _mixed(np.arange(1, n + 1, dtype=np.uint64))]
+
+
 def _bands(features: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
     """A key for each of ``BANDS`` groups of ``rows`` MinHash values of each run of ``features``."""
     first = np.cumsum(sizes) - sizes
     out = np.empty((len(sizes), BANDS), np.int64)
+    short, held = (features >> np.uint64(32)).astype(np.uint32), np.empty(len(features), np.uint32)
+    factors = iter(_factors(BANDS * rows))
     for band in range(BANDS):
         key = np.full(len(sizes), band + 1, np.uint64)
-        for row in range(rows):
-            odd = np.uint64(int(_mixed(np.array([band * rows + row + 1], np.uint64))[0]) | 1)
-            x = features * odd
-            x ^= x >> np.uint64(32)
-            key = _mixed(key * np.uint64(_BASE) + np.minimum.reduceat(x, first))
+        for _ in range(rows):
+            least = np.minimum.reduceat(np.multiply(short, next(factors), out=held), first)
+            key = _mixed(key * np.uint64(_BASE) + least)
         out[:, band] = key.view(np.int64)
     return out
 
@@ -117,11 +128,10 @@ def _runs_of(raw: np.ndarray, white: np.ndarray, line_no: np.ndarray, start: np.
     """(hash, line) of each four-byte run of the normalised bytes, a blank before each word, of the ``short`` lines."""
     used = ~white
     used[start - 1] = True
+    used &= short[np.maximum(line_no, 0)]
     spots = np.flatnonzero(used)
-    blank = white[spots]
-    owner = line_no[spots + blank]  # the blank may be the end of the line before
-    spots, blank, owner = (x[short[owner]] for x in (spots, blank, owner))
-    byte = np.where(blank, 32, raw[spots]).astype(np.uint64)
+    owner = line_no[spots]  # the end of a line counts for the next one
+    byte = np.where(white[spots], 32, raw[spots]).astype(np.uint64)
     if len(byte) < 4:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     inside = owner[3:] == owner[:-3]
@@ -158,16 +168,23 @@ def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         place = np.arange(len(words)) - np.repeat(first, sizes)
         whole = lambda base: _mixed(np.add.reduceat(words * _powers_to(base, int(sizes.max()))[place], first) + sizes.astype(np.uint64))
         hashes = np.stack([whole(_BASE), whole(_OTHER_BASE)], 1)
-        many = count[of_line] >= WORDS_FROM
-        sets = ((RUN_ROWS, *_runs_of(raw, white, line_no, start, count < CHARS_UNDER)), (WORD_ROWS, words[many], of_line[many]))
-        for rows, features, owner in sets:
-            if not len(features):
-                continue
+        runs, owner = _runs_of(raw, white, line_no, start, count < CHARS_UNDER)
+        if len(runs):
             lines, rank = np.unique(owner, return_inverse=True)
-            distinct, each = _distinct_features(features, rank, len(lines))
+            runs, each = _distinct_features(runs, rank, len(lines))
+            places.append(at[lines])
+            fps.append(_simhashes(_bit_counts(runs, each), each))
+            keys.append(_bands(runs, each, RUN_ROWS))
+        lines = np.flatnonzero(count >= WORDS_FROM)
+        if len(lines):
+            many = count[of_line] >= WORDS_FROM
+            words, of_line = words[many], of_line[many]
+            inside = of_line[1:] == of_line[:-1]
+            pairs = _mixed(words[:-1] * np.uint64(_OTHER_BASE) + words[1:])[inside]
+            alone, each = _distinct_features(words, np.repeat(np.arange(len(lines)), count[lines]), len(lines))
             places.append(at[lines])
-            fps.append(_simhashes(distinct, each))
-            keys.append(_bands(distinct, each, rows))
+            fps.append(_simhashes(_bit_counts(alone, each) + _bit_counts(pairs, count[lines] - 1), each + count[lines] - 1))
+            keys.append(_bands(pairs, count[lines] - 1, PAIR_ROWS))
     places, fps, keys = (np.concatenate(x) for x in (places, fps, keys))
     # a line of under three bytes has no run; its hash stands in
     bare = np.setdiff1d(np.arange(len(wanted)), places)
@@ -368,12 +385,13 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "id long, fp long, root long, text string").dropDuplicates(["id"])
 
 
-def _links_of_large(large: DataFrame, bits: int, similarity: float, together: int) -> tuple[DataFrame, DataFrame]:
+def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: float, together: int) -> tuple[DataFrame, DataFrame]:
     """(links, blocks to verify) of groups of more than ``together`` lines (root, id, fp, text).
 
     Every line is held against LEADERS lines of its group, which takes rows of the group's size.
     Lines that share leaders are connected; a label tells them.  Lines of different labels, and
-    those no leader reached, still have to be compared, so no link is lost: in pairs of blocks.
+    those no leader reached, still have to be compared where they share a key of ``keys``
+    (line, key), so no link is lost: in pairs of blocks of the lines of a key.
     """
     spread = Window.partitionBy("root").orderBy(F.xxhash64("id"), "id")
     some = large.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= LEADERS)
@@ -383,16 +401,21 @@ def _links_of_large(large: DataFrame, bits: int, similarity: float, together: in
     met = written(components(seen.where("size(by) > 1").select(F.col("by")[0].alias("u"), F.explode(F.slice("by", 2, LEADERS)).alias("v"))).select("node", F.col("root").alias("chief")), "leaders-met")
     named = seen.withColumn("leader", F.get("by", F.lit(0))).join(_sized(met), F.col("leader") == F.col("node"), "left")
     members = written(named.select("root", "id", "fp", "text", F.coalesce("chief", "leader").alias("label")), "labelled-lines")
-    sizes = members.groupBy(F.col("root").alias("of"), "label").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("n"))
-    # at most LEADERS + 1 labels a group; a group of one label is done
-    labels = written(sizes.groupBy("of").agg(F.collect_list(F.struct("label", "n")).alias("l")).where("size(l) > 1 or l[0].label is null"), "labels")
-    sized = members.join(_sized(labels), F.col("root") == F.col("of"))
+    # a group of one label is done
+    kinds = members.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.when(F.col("label").isNull(), 1)).alias("loose"))
+    undone = written(kinds.where("loose > 0 or low <> high").select(F.col("root").alias("of")), "undone-groups")
+    members = members.join(_sized(undone), F.col("root") == F.col("of"), "left_semi")
+    members = written(members.join(keys, members["id"] == keys["line"]).select(F.xxhash64("root", "key").alias("g"), "id", "fp", "text", "label"), "keyed-lines")
+    sizes = members.groupBy(F.col("g").alias("of"), "label").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("n"), F.count("*").alias("lines"))
+    # at most LEADERS + 1 labels a key
+    labels = written(sizes.groupBy("of").agg(F.collect_list(F.struct("label", "n")).alias("l"), F.sum("lines").alias("lines")).where("lines > 1 and (size(l) > 1 or l[0].label is null)").drop("lines"), "labels")
+    sized = members.join(labels, F.col("g") == F.col("of"))
     spell = lambda label, block: F.concat_ws(":", F.coalesce(label.cast("string"), F.lit("-")), block)
     own = F.filter("l", lambda x: x["label"].eqNullSafe(F.col("label")))[0]["n"]
     others = F.filter("l", lambda x: x["label"].isNull() | ~x["label"].eqNullSafe(F.col("label")))
     sized = sized.withColumn("mine", spell(F.col("label"), F.pmod(F.xxhash64("id"), own)))
     dealt = sized.withColumn("other", F.explode(others)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("other.n") - 1))).withColumn("theirs", spell(F.col("other.label"), F.col("k")))
-    return first, dealt.select(F.xxhash64("root", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "id", "fp", "text", "label")
+    return first, dealt.select(F.xxhash64("g", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "id", "fp", "text", "label")
 
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
@@ -401,6 +424,7 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similar
     both = distinct.where(F.size("s") > 1).select(F.col("s")[0]["fp"].alias("u"), F.col("s")[1]["fp"].alias("v"))
     near = components(links(each, bits).unionAll(both))
     of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
+    keys = distinct.select(F.col("id").alias("line"), F.explode(F.flatten("s.keys")).alias("key"))
     distinct = distinct.select("id", F.col("s")[0]["fp"].alias("fp"), "row", "row2", "line")
     # lines of one fingerprint (the same words in another order) are a group, too
     same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
@@ -414,7 +438,7 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similar
         return _verified_groups(texts.select(F.col("root").alias("key"), "id", "fp", "text", none), bits, similarity, None)
     big = written(big, "large-roots")
     small = texts.join(_sized(big), F.col("root") == F.col("of"), "left_anti")
-    first, blocks = _links_of_large(texts.join(_sized(big), F.col("root") == F.col("of"), "left_semi"), bits, similarity, together)
+    first, blocks = _links_of_large(texts.join(_sized(big), F.col("root") == F.col("of"), "left_semi"), keys, bits, similarity, together)
     return _verified_groups(small.select(F.col("root").alias("key"), "id", "fp", "text", none).unionByName(blocks), bits, similarity, first)
 
 
