@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import map_texts, written
+from lakeweft.llm.common import free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -78,22 +78,31 @@ def _distance(a, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _connect(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+#: How two rows are told to be near: at most ``bits`` differing bits and, where sizes are given, a shorter one of at least ``share`` of the longer.
+Near = tuple[int, float]
+
+
+def _is_near(near: Near, fp, other, size, other_size) -> np.ndarray:
+    bits, share = near
+    close = _distance(fp, other) <= bits
+    return close & (np.minimum(size, other_size) >= share * np.maximum(size, other_size) - 1e-9) if share else close
+
+
+def _connect(fps: np.ndarray, sizes: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected within one bucket, by search from one to the unreached."""
     links_a, links_b = [], []
-    rest = fps
+    rest, size = fps, sizes
     while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+        front, rest, size = [(rest[0], size[0])], rest[1:], size[1:]
         while front and len(rest):
-            x = front.pop()
-            near = _distance(rest, x) <= bits
-            if near.any():
-                reached = rest[near]
+            x, n = front.pop()
+            hit = _is_near(near, rest, x, size, n)
+            if hit.any():
+                reached = rest[hit]
                 links_a.append(np.full(len(reached), x, np.uint64))
                 links_b.append(reached)
-                front += reached.tolist()
-                front = [np.uint64(y) for y in front]
-                rest = rest[~near]
+                front += zip(reached, size[hit], strict=True)
+                rest, size = rest[~hit], size[~hit]
     none = np.empty(0, np.uint64)
     return (np.concatenate(links_a), np.concatenate(links_b)) if links_a else (none, none)
 
@@ -132,7 +141,7 @@ def _runs(batches, columns: list[str], block: int = BLOCK):
         yield held, False
 
 
-def _compare(key: np.ndarray, fp: np.ndarray, bits: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+def _compare(key: np.ndarray, fp: np.ndarray, sizes: np.ndarray, near: Near, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Verified links of the runs of equal keys in ``key``."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[starts, len(key)])
@@ -143,15 +152,15 @@ def _compare(key: np.ndarray, fp: np.ndarray, bits: int, block: int = BLOCK) ->
         if not (size > off).any():
             break
         i = np.flatnonzero(short[:-off] & (key[:-off] == key[off:])) if len(key) > off else np.empty(0, np.int64)
-        i = i[_distance(fp[i], fp[i + off]) <= bits]
+        i = i[_is_near(near, fp[i], fp[i + off], sizes[i], sizes[i + off])]
         a.append(fp[i])
         b.append(fp[i + off])
     for s, n in zip(starts[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
         if n <= block:
-            x, y = _connect(fp[s : s + n], bits)
+            x, y = _connect(fp[s : s + n], sizes[s : s + n], near)
         else:
-            parts = [fp[s + i : s + i + block] for i in range(0, n, block)]
-            pairs = [_connect(np.concatenate([parts[i], parts[j]]), bits) for i, j in itertools.combinations(range(len(parts)), 2)]
+            parts = [(fp[s + i : s + i + block], sizes[s + i : s + i + block]) for i in range(0, n, block)]
+            pairs = [_connect(*(np.concatenate([parts[i][k], parts[j][k]]) for k in (0, 1)), near) for i, j in itertools.combinations(range(len(parts)), 2)]
             x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         a.append(x)
         b.append(y)
@@ -161,17 +170,19 @@ def _compare(key: np.ndarray, fp: np.ndarray, bits: int, block: int = BLOCK) ->
 
 
 LINK_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
+LINK_TYPES = "u long, v long, key long"
 
 
-def _linker(bits: int, block: int = BLOCK):
+def _linker(near: Near, block: int = BLOCK):
+    """Links (u, v, null); a row of an oversize bucket passes as (fingerprint, size, key)."""
+
     def run(batches):
         kept_a, kept_b, n = [], [], 0
-        for (key, fp), oversize in _runs(batches, ["key", "fp"], block):
+        for (key, fp, sizes), oversize in _runs(batches, ["key", "fp", "size"], block):
             if oversize:
-                none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(fp), none, pa.array(key)], schema=LINK_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(sizes.astype(np.int64)), pa.array(key)], schema=LINK_SCHEMA)
                 continue
-            a, b = _compare(key, fp.view(np.uint64), bits, block)
+            a, b = _compare(key, fp.view(np.uint64), sizes, near, block)
             kept_a.append(a.view(np.int64))
             kept_b.append(b.view(np.int64))
             n += len(a)
@@ -196,43 +207,49 @@ def _expander(batches):
             yield pa.RecordBatch.from_arrays([pa.array(variant_keys(part.view(np.uint64)).ravel()), pa.array(np.repeat(part, 64))], ["key", "fp"])
 
 
-def links(keyed: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between distinct fingerprints that share a key, enough to connect what is connected."""
+def links(keyed: DataFrame, bits: int, block: int = BLOCK, share: float = 0) -> DataFrame:
+    """(u, v): links between distinct fingerprints that share a key, enough to connect what is connected.
+
+    With ``share`` the rows (key, fp, size) also need sizes of at least that ratio.
+    """
+    near = (bits, share)
+    sized = keyed.select("key", "fp", "size" if share else F.lit(0).alias("size"))
     # one sort column of longs: Spark sorts it by radix
-    first = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(bits, block), "u long, v long, key long"), "links")
+    first = written(sized.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(near, block), LINK_TYPES), "links")
     out = first.where("key is null").select("u", "v")
-    large = first.where("key is not null").select("key", F.col("u").alias("fp"))
+    large = first.where("key is not null").select("key", F.col("u").alias("fp"), F.col("v").alias("size"))
     sizes = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(max(1, block // 2))).cast("int").alias("blocks"))
     if sizes.isEmpty():
         return out
+    sizes = written(sizes, "large-keys")  # a plain shuffle for the join, which can be split
     blocked = large.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    pairs = blocked.select("fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+    pairs = blocked.select("fp", "size", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("fp", "size", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
     # a hash collision only brings more fingerprints together; every link is verified
-    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_linker(bits), "u long, v long, key long")
+    more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_linker(near), LINK_TYPES)
     return out.union(more.select("u", "v"))
 
 
-def _pair_linker(bits: int):
+def _pair_linker(near: Near):
     def run(batches):
         held: list = []
         last = None
 
         def flush():
-            fp = np.concatenate(held).view(np.uint64)
-            a, b = _connect(fp, bits)
+            fp, size = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            a, b = _connect(fp.view(np.uint64), size, near)
             x, y = contract(a.view(np.int64), b.view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], schema=LINK_SCHEMA)
 
         for b in batches:
-            key, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+            key, fp, size = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "size"))
             cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             for s, e in itertools.pairwise(cuts.tolist()):
                 if last is not None and key[s] != last:
                     yield flush()
                     held = []
                 last = key[s]
-                held.append(fp[s:e])
+                held.append((fp[s:e], size[s:e]))
         if held:
             yield flush()
 
@@ -254,8 +271,9 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_each: int = 4, block:
     marked = written(fingerprints(docs, words_each), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = components(links(distinct.select("fp").mapInArrow(_expander, "key long, fp long"), bits, block))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = written(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    # written: a plain shuffle on both sides of the join, so that a large component's rows can be split
+    lowest = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     of_fp = rooted.join(lowest, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -263,10 +281,19 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_each: int = 4, block:
 def keep_one(docs: DataFrame, bits: int = 4, words_each: int = 4) -> DataFrame:
     """``docs`` with one document of each group: the one whose doc_id is the component's smallest.
 
-    Repeated rows (same id, same text) become one row.  Rows of null id stay, as no id tells
-    them apart.  All columns of ``docs`` are kept.
+    Decided row by row: where one id stands on several rows, each text is judged by its own
+    component, and of rows under a component's smallest id the least text stays.  Repeated
+    rows (same id, same text) become one row, the text null counting as empty.  Rows of null
+    id stay, as no id tells them apart.  All columns of ``docs`` are kept; an empty table
+    gives an empty table.
     """
-    groups = near_duplicates(docs, bits, words_each)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    names = docs.columns
+    component, mark = free_name("component", names), free_name("mark", names)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.where("doc_id is not null").withColumn(mark, F.xxhash64("doc_id", text))
+    named = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64("doc_id", text).alias("mark"), F.sha2(text, 256).alias("digest")).alias("doc_id"), "text")
+    # components over (id, text) pairs: the smallest pair has the smallest id, then the least text by hash
+    chosen = near_duplicates(named, bits, words_each).where("doc_id = component_id").select("doc_id.*").distinct()
+    stays = written(chosen.select(F.col("doc_id").alias(component), F.col("mark").alias(mark), "digest"), "kept-documents")
+    joined = keyed.join(stays, (keyed["doc_id"] == stays[component]) & (keyed[mark] == stays[mark]) & (F.sha2(text, 256) == stays["digest"]), "left_semi")
+    return joined.dropDuplicates(["doc_id", mark]).select(*names).unionAll(docs.where("doc_id is null"))
