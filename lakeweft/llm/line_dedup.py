@@ -16,6 +16,7 @@ connects are then compared with one another, where they share a key, in pairs of
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from lakeweft.llm.common import free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
-BITS, SIMILARITY = 18, 0.8
+BITS, SIMILARITY = 20, 0.8
 #: Lines of fewer than CHARS_UNDER words are sketched by four-byte runs, lines of WORDS_FROM words or more by words; between, by both.
 WORDS_FROM, CHARS_UNDER = 8, 13
 #: MinHash values in a key, for runs and for word pairs, and keys of a sketch.
@@ -139,8 +140,8 @@ def _runs_of(raw: np.ndarray, white: np.ndarray, line_no: np.ndarray, start: np.
     return _mixed(runs[inside] + np.uint64(1)), owner[3:][inside]
 
 
-def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(non-blank lines in each text, their numbers, hashes, sketches), without an object per word.
+def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(non-blank lines in each text, their numbers, hashes, sizes in characters, sketches), without an object per word.
 
     The bytes of all texts are one array.  Word hashes are differences of a rolling sum; a
     line's two hashes are sums over its words' hashes by place.  Sketches are (place of the line,
@@ -162,9 +163,11 @@ def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     at = np.full(len(count), -1, np.int64)
     at[wanted] = np.arange(len(wanted))
     places, fps, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty((0, BANDS), np.int64)]
-    hashes = np.empty((0, 2), np.uint64)
+    hashes, chars = np.empty((0, 2), np.uint64), sizes
     if len(wanted):
         first = np.cumsum(sizes) - sizes
+        begun = np.cumsum((raw & 0xC0) != 0x80)  # characters up to here
+        chars = np.add.reduceat(begun[end - 1] - begun[start - 1], first) + sizes - 1
         place = np.arange(len(words)) - np.repeat(first, sizes)
         whole = lambda base: _mixed(np.add.reduceat(words * _powers_to(base, int(sizes.max()))[place], first) + sizes.astype(np.uint64))
         hashes = np.stack([whole(_BASE), whole(_OTHER_BASE)], 1)
@@ -193,21 +196,39 @@ def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     order = np.argsort(places, kind="stable")
     begins = np.cumsum(per_text) - per_text
     text_of = np.searchsorted(begins, wanted, "right") - 1
-    return np.bincount(text_of, minlength=len(texts)), wanted - begins[text_of], hashes, (places[order], fps[order], keys[order])
+    return np.bincount(text_of, minlength=len(texts)), wanted - begins[text_of], hashes, chars, (places[order], fps[order], keys[order])
 
 
-LINES = "l array<struct<line:int,h1:long,h2:long,s:array<struct<fp:long,keys:array<long>>>>>"
+LINES = "l array<struct<line:int,h1:long,h2:long,size:int,fp:long,other:long,keys:binary>>"
 
 
 def _lines(texts: list[str]) -> dict:
-    """For each text its non-blank lines: (number, hash, sketches)."""
-    n, numbers, hashes, (places, fps, keys) = sketched_lines(texts)
+    """For each text its non-blank lines: number, hash, size, fingerprints (of words, too, where runs come first) and packed keys."""
+    n, numbers, hashes, sizes, (places, fps, keys) = sketched_lines(texts)
     offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
-    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-    each = pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), bands], ["fp", "keys"])
-    sketches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(places, minlength=len(hashes)))].astype(np.int32)), each)
+    each = np.bincount(places, minlength=len(hashes))
+    first = np.cumsum(each) - each
+    two = each == 2
+    signed = fps.view(np.int64)
+    other = pa.array(signed[np.minimum(first + 1, max(0, len(fps) - 1))] if len(fps) else signed, mask=~two)
+    packed = pa.Array.from_buffers(pa.binary(), len(hashes), [None, pa.py_buffer(np.r_[0, np.cumsum(each * BANDS * 8)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
     h1, h2 = (pa.array(np.ascontiguousarray(hashes[:, k]).view(np.int64)) for k in (0, 1))
-    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(numbers.astype(np.int32)), h1, h2, sketches], ["line", "h1", "h2", "s"]))}
+    columns = [pa.array(numbers.astype(np.int32)), h1, h2, pa.array(sizes.astype(np.int32)), pa.array(signed[first]), other, packed]
+    return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["line", "h1", "h2", "size", "fp", "other", "keys"]))}
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, size, id) of each key of (id, size, fp, other, keys)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
+        two = b.column("other").is_valid().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(b.num_rows), np.where(two, 2, 1))
+        second = np.r_[False, of[1:] == of[:-1]]
+        fp = np.where(second, b.column("other").fill_null(0).to_numpy(zero_copy_only=False)[of], b.column("fp").to_numpy(zero_copy_only=False)[of])
+        columns = [keys, np.repeat(fp, BANDS), *(np.repeat(b.column(c).to_numpy(zero_copy_only=False)[of], BANDS) for c in ("size", "id"))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "size", "id"])
 
 
 def normalised(line: str) -> str:
@@ -229,6 +250,9 @@ def distance_within(a: str, b: str, most: int) -> bool:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if max(len(a), len(b)) <= most:
         return True
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True  # word for word: never less than the distance
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -265,20 +289,33 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return distance_within(a, b, int((1 - similarity) * longer + 1e-9))
 
 
-def _candidates(fps: np.ndarray, few: np.ndarray, sizes: np.ndarray, x: tuple, bits: int, similarity: float) -> list[int]:
-    """Places of the lines that may be similar to line ``x``, given as (fingerprint, few, size)."""
-    fp, of_few, size = x
-    longer = np.maximum(sizes, size)
-    near = (np.bitwise_count(fps ^ fp) <= bits) | (few != of_few)  # fingerprints of other features can't be compared
-    return np.flatnonzero(near & (longer - np.minimum(sizes, size) <= (1 - similarity) * longer + 1e-9)).tolist()
+@dataclasses.dataclass
+class _Facts:
+    """Arrays that tell which of some lines may be similar: fingerprints of runs and of words (each with a mask) and sizes."""
+
+    runs: np.ndarray
+    words: np.ndarray
+    has_runs: np.ndarray
+    has_words: np.ndarray
+    sizes: np.ndarray
 
+    @classmethod
+    def of(cls, fps: list[int], others: list[int | None], texts: list[str]) -> _Facts:
+        few = np.array([t.count(" ") + 1 < CHARS_UNDER for t in texts], bool)
+        first = np.array(fps, np.int64).view(np.uint64)
+        second = np.array([x or 0 for x in others], np.int64).view(np.uint64)
+        return cls(first, np.where(few, second, first), few, ~few | np.array([x is not None for x in others], bool), np.array([len(t) for t in texts], np.int64))
 
-def _facts(fps: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    few = np.array([t.count(" ") + 1 < CHARS_UNDER for t in texts], bool)
-    return np.array(fps, np.int64).view(np.uint64), few, np.array([len(t) for t in texts], np.int64)
+    def near(self, rest: np.ndarray, other: _Facts, x: int, bits: int, similarity: float) -> np.ndarray:
+        """Places in ``rest`` (places here) of the lines that may be similar to line ``x`` of ``other``."""
+        longer = np.maximum(self.sizes[rest], other.sizes[x])
+        alike = longer - np.minimum(self.sizes[rest], other.sizes[x]) <= (1 - similarity) * longer + 1e-9
+        runs = self.has_runs[rest] & other.has_runs[x] & (np.bitwise_count(self.runs[rest] ^ other.runs[x]) <= bits)
+        words = self.has_words[rest] & other.has_words[x] & (np.bitwise_count(self.words[rest] ^ other.words[x]) <= bits)
+        return np.flatnonzero(alike & (runs | words))
 
 
-def _verified(ids: np.ndarray, fps: np.ndarray, few: np.ndarray, sizes: np.ndarray, texts: list[str], labels: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected among the given lines, found by search from one to the unreached.
 
     Lines of one label from 0 on are known to be connected and are not compared with one another.
@@ -297,7 +334,7 @@ def _verified(ids: np.ndarray, fps: np.ndarray, few: np.ndarray, sizes: np.ndarr
         reach(rest[:1])
         while front and len(rest):
             x = front.pop()
-            got = [k for k in _candidates(fps[rest], few[rest], sizes[rest], (fps[x], few[x], sizes[x]), bits, similarity) if similar(texts[x], texts[rest[k]], similarity)]
+            got = [k for k in facts.near(rest, facts, x, bits, similarity).tolist() if similar(texts[x], texts[rest[k]], similarity)]
             if got:
                 a += [ids[x]] * len(got)
                 b += ids[rest[got]].tolist()
@@ -310,23 +347,23 @@ LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _verifier(bits: int, similarity: float):
-    """Links within each run of equal keys of (key, id, fp, text, label)."""
+    """Links within each run of equal keys of (key, id, fp, other, text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list = []
-        group, last = ([], [], [], []), None
+        group, last = ([], [], [], [], []), None
 
         def close():
-            ids, fps, texts, labels = group
+            ids, fps, others, texts, labels = group
             if len(ids) > 1:
                 known = {x: k for k, x in enumerate(sorted({x for x in labels if x is not None}))}
-                found.append(_verified(np.array(ids, np.int64), *_facts(fps, texts), texts, np.array([known.get(x, -1) for x in labels], np.int64), bits, similarity))
+                found.append(_verified(np.array(ids, np.int64), _Facts.of(fps, others, texts), texts, np.array([known.get(x, -1) for x in labels], np.int64), bits, similarity))
 
         for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "fp", "text", "label")), strict=True):
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "fp", "other", "text", "label")), strict=True):
                 if key != last:
                     close()
-                    group, last = ([], [], [], []), key
+                    group, last = ([], [], [], [], []), key
                 for part, x in zip(group, row, strict=True):
                     part.append(x)
         close()
@@ -338,16 +375,16 @@ def _verifier(bits: int, similarity: float):
 
 
 def _follower(bits: int, similarity: float):
-    """The leaders that reach each row of (root, id, fp, text, leaders); a leader reaches itself."""
-    names = ["root", "id", "fp", "text"]
+    """The leaders that reach each row of (root, id, fp, other, text, leaders); a leader reaches itself."""
+    names = ["root", "id", "fp", "other", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps, texts, leaders = (b.column(c).to_pylist() for c in ("id", "fp", "text", "leaders"))
-            facts, out = _facts(fps, texts), []
+            ids, fps, others, texts, leaders = (b.column(c).to_pylist() for c in ("id", "fp", "other", "text", "leaders"))
+            facts, out = _Facts.of(fps, others, texts), []
             for i, (own, text, chosen) in enumerate(zip(ids, texts, leaders, strict=True)):
-                known = _facts([x["fp"] for x in chosen], [x["text"] for x in chosen])
-                near = set(_candidates(*known, tuple(x[i] for x in facts), bits, similarity))
+                known = _Facts.of(*([x[c] for x in chosen] for c in ("fp", "other", "text")))
+                near = set(known.near(np.arange(len(chosen)), facts, i, bits, similarity).tolist())
                 out.append([x["id"] for k, x in enumerate(chosen) if x["id"] == own or k in near and similar(text, x["text"], similarity)])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(pa.int64()))], [*names, "by"])
 
@@ -369,8 +406,8 @@ def _row(names: tuple[str, str] = ("row", "row2")) -> list:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, fp, root, text): the normalised lines of ``wanted`` (row, row2, line, id, fp, root), read from their documents."""
-    by_row = written(wanted.groupBy("row", "row2").agg(F.collect_list(F.struct("line", "id", "fp", "root")).alias("w")), "wanted-lines")
+    """(id, fp, other, root, text): the normalised lines of ``wanted`` (row, row2, line, id, fp, other, root), read from their documents."""
+    by_row = written(wanted.groupBy("row", "row2").agg(F.collect_list(F.struct("line", "id", "fp", "other", "root")).alias("w")), "wanted-lines")
     entries = by_row.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
     joined = docs.select(*_row(), "text").join(_sized(by_row, entries), ["row", "row2"]).select("text", "w")
 
@@ -379,14 +416,14 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for t, w in zip(b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
                 lines = (t or "").split("\n")
-                rows += [(x["id"], x["fp"], x["root"], normalised(lines[x["line"]])) for x in w]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "fp", "root", "text"])
+                rows += [(x["id"], x["fp"], x["other"], x["root"], normalised(lines[x["line"]])) for x in w]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((*[pa.int64()] * 4, pa.string()))], ["id", "fp", "other", "root", "text"])
 
-    return joined.mapInArrow(run, "id long, fp long, root long, text string").dropDuplicates(["id"])
+    return joined.mapInArrow(run, "id long, fp long, other long, root long, text string").dropDuplicates(["id"])
 
 
 def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: float, together: int) -> tuple[DataFrame, DataFrame]:
-    """(links, blocks to verify) of groups of more than ``together`` lines (root, id, fp, text).
+    """(links, blocks to verify) of groups of more than ``together`` lines (root, id, fp, other, text).
 
     Every line is held against LEADERS lines of its group, which takes rows of the group's size.
     Lines that share leaders are connected; a label tells them.  Lines of different labels, and
@@ -395,17 +432,17 @@ def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: fl
     """
     spread = Window.partitionBy("root").orderBy(F.xxhash64("id"), "id")
     some = large.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= LEADERS)
-    leaders = written(some.groupBy(F.col("root").alias("of")).agg(F.collect_list(F.struct("id", "fp", "text")).alias("leaders")), "leaders")
-    seen = written(large.join(leaders, large["root"] == leaders["of"]).drop("of").mapInArrow(_follower(bits, similarity), "root long, id long, fp long, text string, by array<long>"), "followers")
+    leaders = written(some.groupBy(F.col("root").alias("of")).agg(F.collect_list(F.struct("id", "fp", "other", "text")).alias("leaders")), "leaders")
+    seen = written(large.join(leaders, large["root"] == leaders["of"]).drop("of").mapInArrow(_follower(bits, similarity), "root long, id long, fp long, other long, text string, by array<long>"), "followers")
     first = seen.select(F.explode("by").alias("u"), F.col("id").alias("v")).where("u <> v")
     met = written(components(seen.where("size(by) > 1").select(F.col("by")[0].alias("u"), F.explode(F.slice("by", 2, LEADERS)).alias("v"))).select("node", F.col("root").alias("chief")), "leaders-met")
     named = seen.withColumn("leader", F.get("by", F.lit(0))).join(_sized(met), F.col("leader") == F.col("node"), "left")
-    members = written(named.select("root", "id", "fp", "text", F.coalesce("chief", "leader").alias("label")), "labelled-lines")
+    members = written(named.select("root", "id", "fp", "other", "text", F.coalesce("chief", "leader").alias("label")), "labelled-lines")
     # a group of one label is done
     kinds = members.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.when(F.col("label").isNull(), 1)).alias("loose"))
     undone = written(kinds.where("loose > 0 or low <> high").select(F.col("root").alias("of")), "undone-groups")
     members = members.join(_sized(undone), F.col("root") == F.col("of"), "left_semi")
-    members = written(members.join(keys, members["id"] == keys["line"]).select(F.xxhash64("root", "key").alias("g"), "id", "fp", "text", "label"), "keyed-lines")
+    members = written(members.join(keys, members["id"] == keys["line"]).select(F.xxhash64("root", "key").alias("g"), "id", "fp", "other", "text", "label"), "keyed-lines")
     sizes = members.groupBy(F.col("g").alias("of"), "label").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("n"), F.count("*").alias("lines"))
     # at most LEADERS + 1 labels a key
     labels = written(sizes.groupBy("of").agg(F.collect_list(F.struct("label", "n")).alias("l"), F.sum("lines").alias("lines")).where("lines > 1 and (size(l) > 1 or l[0].label is null)").drop("lines"), "labels")
@@ -414,32 +451,32 @@ def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: fl
     own = F.filter("l", lambda x: x["label"].eqNullSafe(F.col("label")))[0]["n"]
     others = F.filter("l", lambda x: x["label"].isNull() | ~x["label"].eqNullSafe(F.col("label")))
     sized = sized.withColumn("mine", spell(F.col("label"), F.pmod(F.xxhash64("id"), own)))
-    dealt = sized.withColumn("other", F.explode(others)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("other.n") - 1))).withColumn("theirs", spell(F.col("other.label"), F.col("k")))
-    return first, dealt.select(F.xxhash64("g", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "id", "fp", "text", "label")
+    dealt = sized.withColumn("facing", F.explode(others)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("facing.n") - 1))).withColumn("theirs", spell(F.col("facing.label"), F.col("k")))
+    return first, dealt.select(F.xxhash64("g", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "id", "fp", "other", "text", "label")
 
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """(id, root) for the lines that link to another; ``distinct`` has (id, s, row, row2, line), sketches and the place of one occurrence."""
-    each = distinct.select(F.explode("s").alias("s")).select(F.explode("s.keys").alias("key"), "s.fp")
-    both = distinct.where(F.size("s") > 1).select(F.col("s")[0]["fp"].alias("u"), F.col("s")[1]["fp"].alias("v"))
-    near = components(links(each, bits).unionAll(both))
+    """(id, root) for the lines that link to another; ``distinct`` has (id, size, fp, other, keys, row, row2, line), sketches and the place of one occurrence."""
+    each = distinct.select("id", "size", "fp", "other", "keys").mapInArrow(_keyed, "key long, fp long, size int, id long")
+    both = distinct.where("other is not null").select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    near = components(links(each, bits, share=similarity).unionAll(both))
     of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
-    keys = distinct.select(F.col("id").alias("line"), F.explode(F.flatten("s.keys")).alias("key"))
-    distinct = distinct.select("id", F.col("s")[0]["fp"].alias("fp"), "row", "row2", "line")
+    keys = each.select(F.col("id").alias("line"), "key")
+    distinct = distinct.select("id", "fp", "other", "row", "row2", "line")
     # lines of one fingerprint (the same words in another order) are a group, too
     same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     of_fp = written(of_fp.unionAll(same.join(of_fp, "node", "left_anti").select("node", "root")), "line-fps")
-    wanted = written(distinct.join(_sized(of_fp), distinct["fp"] == of_fp["node"]).select("row", "row2", "line", "id", "fp", "root"), "line-places")
+    wanted = written(distinct.join(_sized(of_fp), distinct["fp"] == of_fp["node"]).select("row", "row2", "line", "id", "fp", "other", "root"), "line-places")
     sizes = written(wanted.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "of").where("n > 1"), "line-groups")
-    kept = wanted.join(_sized(sizes), F.col("root") == F.col("of")).select("row", "row2", "line", "id", "fp", "root", "n")
+    kept = wanted.join(_sized(sizes), F.col("root") == F.col("of")).select("row", "row2", "line", "id", "fp", "other", "root", "n")
     texts = written(_texts_of(docs, kept), "line-texts")
     big, none = sizes.where(F.col("n") > together).select("of"), F.lit(None).cast("long").alias("label")
     if big.isEmpty():
-        return _verified_groups(texts.select(F.col("root").alias("key"), "id", "fp", "text", none), bits, similarity, None)
+        return _verified_groups(texts.select(F.col("root").alias("key"), "id", "fp", "other", "text", none), bits, similarity, None)
     big = written(big, "large-roots")
     small = texts.join(_sized(big), F.col("root") == F.col("of"), "left_anti")
     first, blocks = _links_of_large(texts.join(_sized(big), F.col("root") == F.col("of"), "left_semi"), keys, bits, similarity, together)
-    return _verified_groups(small.select(F.col("root").alias("key"), "id", "fp", "text", none).unionByName(blocks), bits, similarity, first)
+    return _verified_groups(small.select(F.col("root").alias("key"), "id", "fp", "other", "text", none).unionByName(blocks), bits, similarity, first)
 
 
 def _verified_groups(keyed: DataFrame, bits: int, similarity: float, more: DataFrame | None) -> DataFrame:
@@ -455,9 +492,9 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILA
     keyed = docs.select("doc_id", *_row(), "text")
     lines = written(map_texts(keyed, _lines, LINES, ["doc_id", "row", "row2"]).select("doc_id", "row", "row2", F.inline("l")), "lines")
     place = F.struct("doc_id", "row", "row2", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("s").alias("s"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ("size", "fp", "other", "keys")))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
-    roots = fuzzy_groups(docs, distinct.select("id", "s", "first.row", "first.row2", "first.line"), bits, similarity, together)
+    roots = fuzzy_groups(docs, distinct.select("id", "size", "fp", "other", "keys", "first.row", "first.row2", "first.line"), bits, similarity, together)
     roots = written(roots.unionAll(roots.select(F.col("root").alias("id"), "root")).distinct().withColumnRenamed("id", "node"), "line-roots")
     places = distinct.select("id", "h1", "h2", "first", (F.col("first") != F.col("last")).alias("again"))
     shared = places.join(_sized(roots), F.col("id") == F.col("node"), "left").where("root is not null or again").select("h1", "h2", F.coalesce("root", "id").alias("root"), "first")

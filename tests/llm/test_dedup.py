@@ -111,7 +111,7 @@ def brute_lines(rows, bits=line_dedup.BITS, similarity=0.8):
             if line.lower().encode().split():
                 entries.append((i, t, k, line_dedup.normalised(line)))
     texts = sorted({e[3] for e in entries})
-    fps = [int(line_dedup.sketched_lines([x])[3][1][0]) for x in texts]
+    fps = [int(line_dedup.sketched_lines([x])[4][1][0]) for x in texts]
 
     def lev(a, b):
         p = list(range(len(b) + 1))
