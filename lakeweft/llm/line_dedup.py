@@ -218,7 +218,7 @@ def _lines(texts: list[str]) -> dict:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, size, id) of each key of (id, size, fp, other, keys)."""
+    """(key, fp, size) of each key of (size, fp, other, keys)."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -227,8 +227,17 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(b.num_rows), np.where(two, 2, 1))
         second = np.r_[False, of[1:] == of[:-1]]
         fp = np.where(second, b.column("other").fill_null(0).to_numpy(zero_copy_only=False)[of], b.column("fp").to_numpy(zero_copy_only=False)[of])
-        columns = [keys, np.repeat(fp, BANDS), *(np.repeat(b.column(c).to_numpy(zero_copy_only=False)[of], BANDS) for c in ("size", "id"))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "size", "id"])
+        columns = [keys, np.repeat(fp, BANDS), np.repeat(b.column("size").to_numpy(zero_copy_only=False)[of], BANDS)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "size"])
+
+
+def _keyed_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, shared, keys): a row for each key of (id, keys), with all keys of the line."""
+    for b in batches:
+        keys = b.column("keys").to_pylist()
+        each = np.array([len(k) // 8 for k in keys], np.int64)
+        of = pa.array(np.repeat(np.arange(b.num_rows), each))
+        yield pa.RecordBatch.from_arrays([b.column("id").take(of), pa.array(np.frombuffer(b"".join(keys), np.int64)), b.column("keys").take(of)], ["line", "shared", "keys"])
 
 
 def normalised(line: str) -> str:
@@ -315,10 +324,11 @@ class _Facts:
         return np.flatnonzero(alike & (runs | words))
 
 
-def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarray, bits: int, similarity: float, keys: list[frozenset] | None = None, shared: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected among the given lines, found by search from one to the unreached.
 
     Lines of one label from 0 on are known to be connected and are not compared with one another.
+    Where the lines are those of the key ``shared``, a pair is compared if that is the least key both have, so once over all keys.
     """
     a, b = [], []
     rest, front = np.arange(len(ids)), []
@@ -334,7 +344,10 @@ def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarr
         reach(rest[:1])
         while front and len(rest):
             x = front.pop()
-            got = [k for k in facts.near(rest, facts, x, bits, similarity).tolist() if similar(texts[x], texts[rest[k]], similarity)]
+            near = facts.near(rest, facts, x, bits, similarity).tolist()
+            if keys is not None:
+                near = [k for k in near if min(keys[x] & keys[rest[k]], default=None) == shared]
+            got = [k for k in near if similar(texts[x], texts[rest[k]], similarity)]
             if got:
                 a += [ids[x]] * len(got)
                 b += ids[rest[got]].tolist()
@@ -344,26 +357,28 @@ def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarr
 
 
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+COLUMNS = ("id", "fp", "other", "text", "label", "shared", "keys")
 
 
 def _verifier(bits: int, similarity: float):
-    """Links within each run of equal keys of (key, id, fp, other, text, label)."""
+    """Links within each run of equal keys of (key, id, fp, other, text, label, shared, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list = []
-        group, last = ([], [], [], [], []), None
+        group, last = tuple([] for _ in COLUMNS), None
 
         def close():
-            ids, fps, others, texts, labels = group
+            ids, fps, others, texts, labels, shared, packed = group
             if len(ids) > 1:
                 known = {x: k for k, x in enumerate(sorted({x for x in labels if x is not None}))}
-                found.append(_verified(np.array(ids, np.int64), _Facts.of(fps, others, texts), texts, np.array([known.get(x, -1) for x in labels], np.int64), bits, similarity))
+                keys = None if shared[0] is None else [frozenset(np.frombuffer(x, np.int64).tolist()) for x in packed]
+                found.append(_verified(np.array(ids, np.int64), _Facts.of(fps, others, texts), texts, np.array([known.get(x, -1) for x in labels], np.int64), bits, similarity, keys, shared[0]))
 
         for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "fp", "other", "text", "label")), strict=True):
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", *COLUMNS)), strict=True):
                 if key != last:
                     close()
-                    group, last = ([], [], [], [], []), key
+                    group, last = tuple([] for _ in COLUMNS), key
                 for part, x in zip(group, row, strict=True):
                     part.append(x)
         close()
@@ -428,7 +443,7 @@ def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: fl
     Every line is held against LEADERS lines of its group, which takes rows of the group's size.
     Lines that share leaders are connected; a label tells them.  Lines of different labels, and
     those no leader reached, still have to be compared where they share a key of ``keys``
-    (line, key), so no link is lost: in pairs of blocks of the lines of a key.
+    (line, shared, keys), so no link is lost: in pairs of blocks of the lines of a key.
     """
     spread = Window.partitionBy("root").orderBy(F.xxhash64("id"), "id")
     some = large.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= LEADERS)
@@ -442,7 +457,7 @@ def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: fl
     kinds = members.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.when(F.col("label").isNull(), 1)).alias("loose"))
     undone = written(kinds.where("loose > 0 or low <> high").select(F.col("root").alias("of")), "undone-groups")
     members = members.join(_sized(undone), F.col("root") == F.col("of"), "left_semi")
-    members = written(members.join(keys, members["id"] == keys["line"]).select(F.xxhash64("root", "key").alias("g"), "id", "fp", "other", "text", "label"), "keyed-lines")
+    members = written(members.join(keys, members["id"] == keys["line"]).select(F.xxhash64("root", "shared").alias("g"), *COLUMNS), "keyed-lines")
     sizes = members.groupBy(F.col("g").alias("of"), "label").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("n"), F.count("*").alias("lines"))
     # at most LEADERS + 1 labels a key
     labels = written(sizes.groupBy("of").agg(F.collect_list(F.struct("label", "n")).alias("l"), F.sum("lines").alias("lines")).where("lines > 1 and (size(l) > 1 or l[0].label is null)").drop("lines"), "labels")
@@ -452,16 +467,16 @@ def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: fl
     others = F.filter("l", lambda x: x["label"].isNull() | ~x["label"].eqNullSafe(F.col("label")))
     sized = sized.withColumn("mine", spell(F.col("label"), F.pmod(F.xxhash64("id"), own)))
     dealt = sized.withColumn("facing", F.explode(others)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("facing.n") - 1))).withColumn("theirs", spell(F.col("facing.label"), F.col("k")))
-    return first, dealt.select(F.xxhash64("g", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "id", "fp", "other", "text", "label")
+    return first, dealt.select(F.xxhash64("g", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), *COLUMNS)
 
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """(id, root) for the lines that link to another; ``distinct`` has (id, size, fp, other, keys, row, row2, line), sketches and the place of one occurrence."""
-    each = distinct.select("id", "size", "fp", "other", "keys").mapInArrow(_keyed, "key long, fp long, size int, id long")
+    each = distinct.select("size", "fp", "other", "keys").mapInArrow(_keyed, "key long, fp long, size int")
     both = distinct.where("other is not null").select(F.col("fp").alias("u"), F.col("other").alias("v"))
     near = components(links(each, bits, share=similarity).unionAll(both))
     of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
-    keys = each.select(F.col("id").alias("line"), "key")
+    keys = distinct.select("id", "keys").mapInArrow(_keyed_whole, "line long, shared long, keys binary")
     distinct = distinct.select("id", "fp", "other", "row", "row2", "line")
     # lines of one fingerprint (the same words in another order) are a group, too
     same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
@@ -470,13 +485,13 @@ def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similar
     sizes = written(wanted.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "of").where("n > 1"), "line-groups")
     kept = wanted.join(_sized(sizes), F.col("root") == F.col("of")).select("row", "row2", "line", "id", "fp", "other", "root", "n")
     texts = written(_texts_of(docs, kept), "line-texts")
-    big, none = sizes.where(F.col("n") > together).select("of"), F.lit(None).cast("long").alias("label")
+    big, none = sizes.where(F.col("n") > together).select("of"), [F.lit(None).cast(kind).alias(c) for c, kind in (("label", "long"), ("shared", "long"), ("keys", "binary"))]
     if big.isEmpty():
-        return _verified_groups(texts.select(F.col("root").alias("key"), "id", "fp", "other", "text", none), bits, similarity, None)
+        return _verified_groups(texts.select(F.col("root").alias("key"), "id", "fp", "other", "text", *none), bits, similarity, None)
     big = written(big, "large-roots")
     small = texts.join(_sized(big), F.col("root") == F.col("of"), "left_anti")
     first, blocks = _links_of_large(texts.join(_sized(big), F.col("root") == F.col("of"), "left_semi"), keys, bits, similarity, together)
-    return _verified_groups(small.select(F.col("root").alias("key"), "id", "fp", "other", "text", none).unionByName(blocks), bits, similarity, first)
+    return _verified_groups(small.select(F.col("root").alias("key"), "id", "fp", "other", "text", *none).unionByName(blocks), bits, similarity, first)
 
 
 def _verified_groups(keyed: DataFrame, bits: int, similarity: float, more: DataFrame | None) -> DataFrame:
