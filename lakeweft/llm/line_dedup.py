@@ -315,6 +315,14 @@ class _Facts:
         second = np.array([x or 0 for x in others], np.int64).view(np.uint64)
         return cls(first, np.where(few, second, first), few, ~few | np.array([x is not None for x in others], bool), np.array([len(t) for t in texts], np.int64))
 
+    def central_first(self) -> np.ndarray:
+        """All places, those nearest to the majority of the fingerprints first: an original before its variants."""
+        fp = np.where(self.has_words, self.words, self.runs)
+        if len(fp) < 3:
+            return np.arange(len(fp))
+        middle = _simhashes(_bit_counts(fp, np.array([len(fp)])), np.array([len(fp)]))
+        return np.argsort(np.bitwise_count(fp ^ middle), kind="stable")
+
     def near(self, rest: np.ndarray, other: _Facts, x: int, bits: int, similarity: float) -> np.ndarray:
         """Places in ``rest`` (places here) of the lines that may be similar to line ``x`` of ``other``."""
         longer = np.maximum(self.sizes[rest], other.sizes[x])
@@ -331,7 +339,7 @@ def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarr
     Where the lines are those of the key ``shared``, a pair is compared if that is the least key both have, so once over all keys.
     """
     a, b = [], []
-    rest, front = np.arange(len(ids)), []
+    rest, front = facts.central_first(), []
 
     def reach(places: np.ndarray) -> None:
         nonlocal rest
@@ -445,8 +453,13 @@ def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: fl
     those no leader reached, still have to be compared where they share a key of ``keys``
     (line, shared, keys), so no link is lost: in pairs of blocks of the lines of a key.
     """
-    spread = Window.partitionBy("root").orderBy(F.xxhash64("id"), "id")
-    some = large.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= LEADERS)
+    middle = F.lit(0).cast("long")
+    for k in range(64):  # the bits that most fingerprints of a group have: an original is nearer to them than its variants
+        middle = middle.bitwiseOR(F.when(2 * F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))) > F.count("*"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    middles = written(large.groupBy(F.col("root").alias("of")).agg(middle.alias("middle")), "middles")
+    ranked = large.join(middles, large["root"] == middles["of"]).withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))))
+    spread = Window.partitionBy("root").orderBy("far", F.xxhash64("id"), "id")
+    some = ranked.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= LEADERS)
     leaders = written(some.groupBy(F.col("root").alias("of")).agg(F.collect_list(F.struct("id", "fp", "other", "text")).alias("leaders")), "leaders")
     seen = written(large.join(leaders, large["root"] == leaders["of"]).drop("of").mapInArrow(_follower(bits, similarity), "root long, id long, fp long, other long, text string, by array<long>"), "followers")
     first = seen.select(F.explode("by").alias("u"), F.col("id").alias("v")).where("u <> v")
