@@ -11,6 +11,7 @@ Three conventions hold everywhere here:
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,9 +32,15 @@ BATCH_DEFAULT = "67108864b"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach.  Only where the setting is unset (tests) a local one is made and remembered."""
+    """The folder every executor can reach.
+
+    Only where the setting is unset and one machine does all the work (tests) a local one is
+    made and remembered; on a cluster each executor would write to its own disk.
+    """
     folder = spark.conf.get(CHECKPOINT, None) or spark.conf.get(OWN_FOLDER, None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT} to a folder that the driver and every executor share")
         folder = "file://" + tempfile.mkdtemp(prefix="lakeweft-")
         spark.conf.set(OWN_FOLDER, folder)
     return folder.rstrip("/")

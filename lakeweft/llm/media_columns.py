@@ -76,9 +76,16 @@ def from_png(data: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
+#: Fixed value: Hadoop's names of the S3 scheme.
+S3_SCHEMES = ("s3a://", "s3n://")
+
+
 def _store(folder: str):
-    filesystem, path = fs.FileSystem.from_uri(folder)
-    return filesystem, path
+    """(file system, path) of a folder named as Spark names it."""
+    for scheme in S3_SCHEMES:
+        if folder.startswith(scheme):
+            folder = "s3://" + folder[len(scheme) :]
+    return fs.FileSystem.from_uri(folder)
 
 
 def write_shards(docs: DataFrame, folder: str) -> DataFrame:
@@ -192,7 +199,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     # a range of (shard, offset) for each task: shards are read forward, each by few tasks
     spread = catalog.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     found = payload_features(spread, folder)
-    places = catalog.join(found, "digest")
+    # written, so that both sides of the next join are plain shuffles and a hot digest's rows can be split
+    places = written(catalog.join(found, "digest"), "places")
     out = rows.select("doc_id", "n_bytes", "digest").join(places, "digest")
     spell = lambda c: F.lower(F.hex(c)).alias(c)
     return out.select("doc_id", "n_bytes", "payload_bytes", spell("payload_sha256"), "tail_crc32", "media_bytes", spell("media_sha256"), "feature", "shard", "offset", "length", "width", "height", "bits")

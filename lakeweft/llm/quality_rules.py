@@ -22,6 +22,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 CLASS_FLOOR, CLASS_SLACK, WORD_FLOOR, WORD_SLACK = 0.16, 1.2, 0.2, 3.0
 #: Texts of fewer words are never judged by distance.
 LEAST_WORDS = 40
+#: References are broadcast up to this many languages, of about 1.5 KB each.
+BROADCAST_LANGUAGES = 4096
 _NC, _NW = len(ts.CLASSES), len(ts.WORDS) + 1
 
 
@@ -94,7 +96,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     keyed = docs.select("doc_id", "text", lang.alias("language"))
     measured = written(map_texts(keyed, measure, SCHEMA, ["doc_id", "language"]), "quality")
-    joined = measured.join(language_references(measured), "language")
+    references = written(language_references(measured), "references")
+    # a row per language; broadcast where they are counted and few, so that measured rows aren't dealt by language
+    few = references.count() <= BROADCAST_LANGUAGES
+    joined = measured.join(F.broadcast(references) if few else references, "language")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -96,6 +96,32 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert masked[11] == "see [SECRET]" and masked[10] == "é [SECRET] [SECRET]" and masked[0] == rows[0][1]
 
 
+def test_ownership_against_brute_force(spark):
+    """Every row's spans and verdicts from both counts, worked out value by value."""
+    import random
+
+    rng = random.Random(4)
+    values = ["token=" + "".join(rng.choice("abcdef0123456789") for _ in range(40)) for _ in range(12)] + ["ghp_" + "".join(rng.choice("aB3xY9") for _ in range(36)) for _ in range(8)]
+    rows = [(rng.randrange(150), " ".join(["word"] * rng.randint(0, 4) + rng.sample(values[:10] if i % 3 else values[10:], rng.randint(0, 3))), rng.choice(["a", None] if i % 3 else ["a", "b", "c", "d", "e"])) for i in range(300)]
+    rows += [(500 + i, values[0], "hot") for i in range(200)] + [(900, "x " * 700_000 + values[1], "a"), (901, None, None), (None, values[2], "n")]
+    rows += rows[:20]
+    found = [[*(b := secrets.base_spans(t or "")), *(m for m in secrets.more_spans(t or "") if not any(x[0] < m[1] and m[0] < x[1] for x in b))] for _, t, _ in rows]
+    owners, repos = {}, {}
+    for (i, _, o), spans in zip(rows, found, strict=True):
+        for s in spans:
+            owners.setdefault(s[3], set()).add(o or "")
+            repos.setdefault(s[3], set()).add(i)
+    copied = {v for v in owners if len(owners[v]) > secrets.MAX_OWNERS and len(repos[v]) > secrets.MAX_REPOS}
+    assert copied and len(copied) < len(owners)
+    want = Counter()
+    for (i, t, _), spans in zip(rows, found, strict=True):
+        base = set(secrets.base_spans(t or ""))
+        shown = sorted((s for s in spans if s in base or s[3] not in copied), key=lambda s: (s[0], secrets.ORDER[s[2]]))
+        want[i, ",".join(f"{s[2]}:{s[0]}:{s[1]}" for s in shown), sum(s[3] not in copied for s in spans), max((len(owners[s[3]]) for s in spans), default=0), max((len(repos[s[3]]) for s in spans), default=0)] += 1
+    got = secrets.secret_scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert Counter((r["doc_id"], r["spans"], r["n_live"], r["max_owners"], r["max_repos"]) for r in got.collect()) == want
+
+
 def test_values_assigned_without_blanks_are_found(spark):
     lines = ["client_auth=Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0L", "aws_secret_access_key=wJalrXUtnFEMI7K9MDENGbPxRfiCYz1234KEYab", "https://x.example/?sig=Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0M&n=1", "k=Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6JkQ=="]
     assert [[s[3] for s in secrets.more_spans(t)] for t in lines] == [[lines[0][12:]], [lines[1][22:]], [lines[2][23:54]], [lines[3][2:]]]
@@ -203,12 +229,72 @@ def test_extraction(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     by = {r["page_id"]: r for r in got.collect()}
     assert len(got.collect()) == len(rows)
-    assert by[5]["text"] == "Head 5 Part 0 of 5&co next line Part 1 of 5&co next line"  # constant template text goes, too
+    assert by[5]["text"] == "Head 5 Part 0 of 5&co next line Part 1 of 5&co next line Read our terms"  # a paragraph of the article stays, however often it is found
     assert by[100]["text"] == "" and by[101]["text"] == "" and by[102]["text"] == "plain text only"
     assert all(r["n_chars"] == len(r["text"]) for r in by.values())
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+CASES = {
+    "story in main, teaser in article": ("<main><h1>Story</h1><p>Long enough text of the story itself, told in full.</p></main><article><p>Teaser</p></article>", "Story Long enough text of the story itself, told in full."),
+    "comment in article": ("<article><p>Body of it.</p><article class='comment'><p>Nice!</p></article></article>", "Body of it."),
+    "advert in the article's header": ("<article><header class='ad'><p>Buy</p></header><header><h1>Head</h1></header><p>Body.</p></article>", "Head Body."),
+    "telling names of a paragraph": ("<article><p>One.</p><p class='related-work'>Two.</p><p class='social-science'>Three.</p><div class='social-science'>Four.</div></article>", "One. Two. Three. Four."),
+    "a body in an alert": ("<body class='Alert'><div class='alert'><p>All the text there is on this page.</p></div><footer>x</footer></body>", "All the text there is on this page."),
+    "notice": ("<article><p>One.</p><div class='cookie-notice'>We use</div><section id=comments><p>No</p></section></article>", "One."),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_regions(name):
+    page_, want = CASES[name]
+    assert html_extract.main_text(page_) == want
+    assert html_extract.main_text(page_, html_extract.host_facts([html_extract.wrapper_of(page_)])) == want
+
+
+def plain_pages(n):
+    """Pages whose menu, notice and footer no name tells."""
+    body = "<html><body><div>Home News Sport</div><div>This site is best viewed at night</div><div><h1>Head {i}</h1><p>Body number {i} of many.</p><p>More of {i}.</p></div><div>Copyright us</div></body></html>"
+    return [(i, f"http://plain.org/{i}", body.format(i=i)) for i in range(n)]
+
+
+def test_constant_text_of_plain_pages_goes_in_any_order(spark):
+    schema = "page_id bigint, url string, html string"
+    rows = plain_pages(20) + [(100 + i, f"http://plain.org/x{i}", plain_pages(1)[0][2]) for i in range(9)]
+    want = {i: f"Head {i} Body number {i} of many. More of {i}." for i in range(20)} | {100 + i: "Head 0 Body number 0 of many. More of 0." for i in range(9)}
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: hash(r[2]))):
+        for parts in (1, 7):
+            got = html_extract.extract(spark.createDataFrame(order, schema).repartition(parts))
+            assert {r["page_id"]: r["text"] for r in got.collect()} == want
+    few = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(plain_pages(3), schema)).collect()}
+    assert few[1].startswith("Home News Sport")  # too few pages to tell a template
+
+
+def test_support_against_brute_force():
+    """Template texts by counting page by page."""
+    pages = [r[2] for r in plain_pages(12)] + ["<html><body><div>Home News Sport</div><div>other</div></body></html>"] * 3
+    support, at = {}, {}
+    for digest in set(pages):
+        for path, text in html_extract.evidence(digest):
+            support.setdefault((path, text), set()).add(digest)
+            at.setdefault(path, set()).add(digest)
+    constant = {k for k, v in support.items() if len(v) >= html_extract.TEMPLATE_PAGES and 2 * len(v) > len(at[k[0]])}
+    assert len(constant) == 3
+    facts = html_extract.host_facts([html_extract.wrapper_of(p) for p in sorted(set(pages))], constant)
+    assert html_extract.main_text(pages[4], facts) == "Head 4 Body number 4 of many. More of 4."
+
+
+def test_a_very_long_page_and_a_large_host(spark):
+    import time
+
+    body = "<article>" + "".join(f"<p>Paragraph <i>{k}</i> here.</p><ul><li>{k}</li></ul>" for k in range(20_000)) + "</article>"
+    began = time.time()
+    assert len(html_extract.main_text(body)) > 400_000 and time.time() - began < 30
+    rows = [(i, "http://big.org/", page(i % 400, i % 3)) for i in range(3000)] + [(5000, "http://big.org/long", body)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert got.count() == 3001
+
+
 def test_pages_table_is_the_articles(spark):
     import html as h
 
