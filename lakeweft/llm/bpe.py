@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import regex
 
+from lakeweft.llm.common import keeps
+
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of more parts than this are merged with a heap, as rescanning would take the square of the length.
@@ -195,3 +197,6 @@ class Memo(dict):
 def load(path: str) -> ByteBPE:
     """One vocabulary per worker process."""
     return ByteBPE(path)
+
+
+keeps(load.cache_clear, "lakeweft.llm.token_counts", "lakeweft.llm.bpe_codec")

@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from lakeweft.llm import bpe
-from lakeweft.llm.common import map_texts
+from lakeweft.llm.common import keeps, map_texts
 
 
 @lru_cache(maxsize=2)
@@ -32,6 +32,9 @@ def _memo(path: str) -> bpe.Memo:
     return memo
 
 
+keeps(_memo.cache_clear, __name__)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the token ids of each text; a null or empty text has none."""
     return map_texts(docs, lambda texts: {"ids": [bpe.load(path).encode(t) for t in texts]}, "ids array<int>", ["doc_id"])

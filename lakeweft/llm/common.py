@@ -11,6 +11,9 @@ Three conventions hold everywhere here:
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -102,6 +105,33 @@ def free_name(base: str, taken: list[str]) -> str:
     return name
 
 
+#: What Python workers keep between tasks: (function that drops it, modules that use it).
+_KEPT: list[tuple[Callable[[], None], tuple[str, ...]]] = []
+_last_module = ""
+
+
+def keeps(drop: Callable[[], None], *modules: str) -> None:
+    """Say that workers keep something for tasks of these modules, and how it is dropped."""
+    _KEPT.append((drop, modules))
+
+
+def begin_task(module: str) -> None:
+    """Called by a task: what other operators kept in this worker is dropped, and freed memory goes back to the system.
+
+    Workers outlive an operator, so without this their memory would be the sum of all operators'.
+    """
+    global _last_module
+    if module != _last_module:
+        for drop, users in _KEPT:
+            if module not in users:
+                drop()
+        gc.collect()
+        _last_module = module
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Texts are handed to an operator in slices of about this many bytes, at least one text each.
 SLICE_BYTES = 1 << 20
 
@@ -137,6 +167,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict], schema: str, keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        begin_task(fn.__module__)
         target = to_arrow_schema(out)
         for batch in (part for whole in batches for part in sliced(whole, "__text")):
             made = fn(texts_of(batch, "__text"))

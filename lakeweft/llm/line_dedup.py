@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import free_name, map_texts, written
+from lakeweft.llm.common import begin_task, free_name, keeps, map_texts, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
@@ -58,6 +58,9 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+keeps(_powers.cache_clear, __name__)
+
+
 def _powers_to(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(16, int(n).bit_length()))[:n]
 
@@ -372,6 +375,7 @@ def _verifier(bits: int, similarity: float):
     """Links within each run of equal keys of (key, id, fp, other, text, label, shared, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
         found: list = []
         group, last = tuple([] for _ in COLUMNS), None
 

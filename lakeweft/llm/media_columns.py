@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import new_path, written
+from lakeweft.llm.common import begin_task, new_path, written
 
 UNIT = 64
 SHARD_BYTES = 128 << 20
@@ -93,6 +93,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        begin_task(__name__)
         filesystem, root = _store(folder)
         filesystem.create_dir(root, recursive=True)
         out, name, at, seen = None, "", 0, {}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweft.llm.bpe import MARKS, Memo, byte_letters
-from lakeweft.llm.common import map_texts, written
+from lakeweft.llm.common import keeps, map_texts, written
 
 CAPACITY = 4096
 BLOCK = 16_384
@@ -54,6 +54,8 @@ def _tokenizer(path: str):
     return tok, memo
 
 
+keeps(_tokenizer.cache_clear, __name__)
+
 #: What ``str.split`` takes for white space and the tokenizer doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 

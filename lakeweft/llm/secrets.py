@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import free_name, map_texts, written
+from lakeweft.llm.common import begin_task, free_name, map_texts, written
 
 #: The base patterns and their least lengths.
 ASSIGN = regex.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", regex.IGNORECASE | regex.ASCII)
@@ -172,6 +172,7 @@ def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX
     def mask(batches):
         import pyarrow as pa
 
+        begin_task(__name__)
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, spots in enumerate(b.column(held).to_pylist()):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import free_name, map_texts, written
+from lakeweft.llm.common import begin_task, free_name, map_texts, written
 from lakeweft.llm.components import components, contract
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -177,6 +177,7 @@ def _linker(near: Near, block: int = BLOCK):
     """Links (u, v, null); a row of an oversize bucket passes as (fingerprint, size, key)."""
 
     def run(batches):
+        begin_task(__name__)
         kept_a, kept_b, n = [], [], 0
         for (key, fp, sizes), oversize in _runs(batches, ["key", "fp", "size"], block):
             if oversize:

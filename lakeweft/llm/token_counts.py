@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweft.llm import bpe
-from lakeweft.llm.common import map_texts
+from lakeweft.llm.common import keeps, map_texts
 
 
 @lru_cache(maxsize=2)
@@ -42,6 +42,9 @@ def _counter(path: str):
     return count
 
 
+keeps(_counter.cache_clear, __name__)
+
+
 def count_tokens(texts: list[str], path: str) -> list[int]:
     count = _counter(path)
     return [count(t) for t in texts]
