@@ -84,6 +84,9 @@ def _vector_distance(a: list[str]) -> str:
 
 
 
+#: Offset basis (as a signed number) and prime of the 64-bit FNV-1a hash.
+FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325 - (1 << 64), 0x100000001B3
+
 _L2 = "sqrt(aggregate(zip_with({0}, {1}, (p, q) -> power(cast(p as double) - cast(q as double), 2)), 0D, (s, v) -> s + v))"
 
 FUNCTIONS: dict[str, Template] = {
@@ -97,7 +100,7 @@ FUNCTIONS: dict[str, Template] = {
     "PASSWORD": "concat('*', upper(sha1(unhex(sha1({0})))))", "SHA256": "sha2({0}, 256)", "BIN2HEX": "lower(hex({0}))", "HEX2BIN": "cast(unhex({0}) as string)", "URLENCODE": "url_encode({0})", "URLDECODE": "url_decode({0})",
     "HTMLENTITIES": "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '\\'', '&#39;')",
     "LOCATE": "locate({*})", "INSTR": "instr({0}, {1})", "SPACE": "space({0})", "TRUNCATE": lambda a: f"(sign({a[0]}) * floor(abs({a[0]}) * power(10, {a[1]})) / power(10, {a[1]}))",
-    "STRLIKE_CS": "({0} like {1})", "FNV_HASH": "xxhash64({0})",
+    "STRLIKE_CS": "({0} like {1})", "FNV_HASH": f"lpad(lower(hex(aggregate(transform(if(octet_length(cast({{0}} as string)) = 0, cast(array() as array<int>), sequence(1, octet_length(cast({{0}} as string)))), i -> cast(conv(hex(substring(cast({{0}} as binary), i, 1)), 16, 10) as bigint)), {FNV_OFFSET}L, (h, b) -> (h ^ b) * {FNV_PRIME}L))), 16, '0')",
     # numbers
     "MOD": "try_mod({0}, {1})", "CEIL": "ceil({0})", "CEILING": "ceil({0})", "SQRT": "(case when {0} >= 0 then sqrt({0}) end)", "RANDOM": "rand()", "POW": "power({0}, {1})", "POWER": "power({0}, {1})", "LOG": lambda a: f"ln({a[0]})" if len(a) == 1 else f"log({a[0]}, {a[1]})", "LOG2": "log2({0})", "LOG10": "log10({0})",
     # dates

@@ -1,8 +1,8 @@
 """Writable tables as versioned Parquet folders: INSERT, UPDATE, DELETE and the rest, copy on write.
 
-Each change writes the next version beside the current one and then moves the pointer (a
-small file renamed into place), so readers see whole versions and a failed job changes
-nothing.  Appends reuse the files of the version before by listing them.
+Each change writes the next version beside the current one and then its manifest, a small
+file renamed to the next number.  No manifest is ever replaced, so readers see whole versions,
+a failed job changes nothing, and of two writers at once the later one gets an error.  Appends reuse the files of the version before by listing them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ class ConstraintError(ValueError):
     """A row breaks a key, a reference or a NOT NULL."""
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer published a version since this one read the table."""
+
+
 @dataclasses.dataclass
 class Reference:
     column: str
@@ -50,27 +54,40 @@ class WritableTable:
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self) -> dict | None:
+    def _latest(self) -> int:
+        """The number of the newest manifest, -1 without any."""
         jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current.json")
-        if not fs.exists(path):
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-*.json"))
+        return max((int(x.getPath().getName()[9:-5]) for x in found or []), default=-1)
+
+    def _manifest(self, number: int):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-{number:012d}.json")
+
+    def _read(self) -> dict | None:
+        _, fs = self._fs()
+        self._seen = self._latest()
+        if self._seen < 0:
             return None
-        stream = fs.open(path)
+        stream = fs.open(self._manifest(self._seen))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode()) | {"number": self._seen}
         finally:
             stream.close()
 
-    def _publish(self, parts: list[str]) -> None:
+    def _publish(self, parts: list[str], after: int | None = None) -> None:
+        """Make ``parts`` the version after number ``after`` (the last one read, if not given)."""
         jvm, fs = self._fs()
+        after = self._seen if after is None else after
         text = json.dumps({"parts": parts, "schema": self.schema.jsonValue()})
         temporary = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/.{uuid.uuid4().hex}.json")
         out = fs.create(temporary, True)
         out.write(bytearray(text.encode()))
         out.close()
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current.json")
-        fs.delete(target, False)
-        fs.rename(temporary, target)
+        target = self._manifest(after + 1)
+        if fs.exists(target) or not fs.rename(temporary, target):
+            fs.delete(temporary, False)
+            raise ConcurrentChange("another writer changed the table meanwhile")
+        self._seen = after + 1
 
     def read(self) -> DataFrame:
         state = self._read()
@@ -149,7 +166,9 @@ class WritableTable:
     def insert(self, rows: DataFrame, ignore: bool = False, on_duplicate: dict[str, Column] | None = None) -> int:
         """Append rows.  A duplicate key is an error, is passed over (``ignore``), or updates the row that is there.
 
-        In ``on_duplicate`` a column ``new.x`` is the rejected row's value.  Returns the number of new rows.
+        In ``on_duplicate`` a column ``new.x`` is the rejected row's value.  A row may clash on any
+        key; the first key of primary key and unique keys that clashes decides which row it
+        updates.  A key with a NULL in it clashes with none.  Returns the number of new rows.
         """
         new = self._fire("before", "insert", self._shaped(rows))
         name = self._write(new)
@@ -158,24 +177,28 @@ class WritableTable:
         keys = self._keys()
         if ignore or on_duplicate:
             for key in keys:
-                new = new.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*self.schema.names))).filter("__r = 1").drop("__r")
+                whole = " and ".join(f"`{k}` is not null" for k in key)
+                ranked = new.filter(whole).withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*self.schema.names)))
+                new = ranked.filter("__r = 1").drop("__r").unionByName(new.filter(f"not ({whole})"))
             old = self.read()
-            fresh = new
-            for key in keys:
-                fresh = fresh.join(old.select(*key).dropna(), key, "left_anti")
             if on_duplicate and keys:
-                key = keys[0]
-                hit = old.alias("old").join(new.alias("new"), [F.col(f"old.{k}") == F.col(f"new.{k}") for k in key], "left")
-                matched = F.col(f"new.{key[0]}").isNotNull()
-                updated = hit.select(*(F.when(matched, on_duplicate[f.name]).otherwise(F.col(f"old.{f.name}")).cast(f.dataType).alias(f.name) if f.name in on_duplicate else F.col(f"old.{f.name}") for f in self.schema))
+                updated, fresh = old, new
+                for key in keys:
+                    hit = updated.alias("old").join(fresh.alias("new"), [F.col(f"old.{k}") == F.col(f"new.{k}") for k in key], "left")
+                    matched = F.col(f"new.{key[0]}").isNotNull()
+                    updated = hit.select(*(F.when(matched, on_duplicate[f.name]).otherwise(F.col(f"old.{f.name}")).cast(f.dataType).alias(f.name) if f.name in on_duplicate else F.col(f"old.{f.name}") for f in self.schema))
+                    fresh = fresh.join(old.select(*key).dropna(), key, "left_anti").select(*self.schema.names)
                 n = fresh.count()
                 self._replace(updated.unionByName(fresh))
                 return n
+            fresh = new
+            for key in keys:
+                fresh = fresh.join(old.select(*key).dropna(), key, "left_anti").select(*self.schema.names)
             name = self._write(fresh)
             new = self.spark.read.schema(self.schema).parquet(f"{self.folder}/{name}")
         both = self.read().unionByName(new) if keys else new
         self._checked(both)
-        self._publish([*state["parts"], name])
+        self._publish([*state["parts"], name], state["number"])
         self._fire("after", "insert", new)
         return new.count()
 
@@ -217,13 +240,15 @@ class WritableTable:
         gone = rows.filter(hit).drop("__hit")
         n = gone.count()
         if n:
-            for child, ref in self.children:
+            touched = []
+            for child, ref in self.children:  # all refusals come before any change
                 keys = gone.select(F.col(ref.parent_column).alias("__k")).distinct()
-                touched = child.read().join(keys, F.col(ref.column) == F.col("__k"), "left_semi")
-                if touched.limit(1).isEmpty():
+                if child.read().join(keys, F.col(ref.column) == F.col("__k"), "left_semi").limit(1).isEmpty():
                     continue
                 if ref.on_delete == "restrict":
                     raise ConstraintError(f"rows still refer to {ref.parent_column}")
+                touched.append((child, ref, keys))
+            for child, ref, keys in touched:
                 member = child.read().join(keys.withColumn("__m", F.lit(True)), F.col(ref.column) == F.col("__k"), "left")
                 if ref.on_delete == "cascade":
                     held = member.filter("__m is null").select(*child.schema.names)

@@ -176,7 +176,7 @@ DIRECT: dict[str, tuple[Query, str | None]] = {
     "per_partition_limit": (_per_partition, "SELECT o_orderpriority, o_orderkey FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r BETWEEN 2 AND 3"),
     "outer_scan_null_row": (_outer_scan, "SELECT n_nationkey, n_name FROM (SELECT 1) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 1000) ON TRUE"),
     "planner_statistics": (_statistics, "SELECT 'n_nationkey' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT(n_nationkey) AS n_nulls, CAST(MIN(n_nationkey) AS VARCHAR) AS min_value, CAST(MAX(n_nationkey) AS VARCHAR) AS max_value FROM nation UNION ALL SELECT 'n_name', COUNT(*), COUNT(*) - COUNT(n_name), MIN(n_name), MAX(n_name) FROM nation UNION ALL SELECT 'n_regionkey', COUNT(*), COUNT(*) - COUNT(n_regionkey), CAST(MIN(n_regionkey) AS VARCHAR), CAST(MAX(n_regionkey) AS VARCHAR) FROM nation"),
-    "ordered_fold": (_ordered_fold, None),
+    "ordered_fold": (_ordered_fold, "SELECT event_id, ROUND(s - LEAST(0, MIN(s) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 2) AS balance FROM (SELECT event_id, user_id, ts, SUM(CASE WHEN event_type <> 'purchase' THEN value ELSE -value END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events)"),
     "custom_aggregate": (_custom_agg, "SELECT n_regionkey, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey)), lambda s, v: s * 31 % 1000003 + v) AS BIGINT) AS code FROM nation GROUP BY n_regionkey"),
     "window_total": (_whole_window, "SELECT c_custkey, ROUND(SUM(c_acctbal) OVER (PARTITION BY c_nationkey), 2) AS total, COUNT(*) OVER (PARTITION BY c_nationkey) AS n, MAX(c_acctbal) OVER (PARTITION BY c_nationkey) AS top FROM customer"),
     "window_order_compat": (text("SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate), 2) AS total FROM orders", compat=Compat(window_order_ignored=True)), "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_orderstatus), 2) AS total FROM orders"),
