@@ -273,22 +273,26 @@ def distance_within(a: str, b: str, most: int) -> bool:
     gap = np.bincount(x, minlength=1024) - np.bincount(y, minlength=1024)
     if max(gap[gap > 0].sum(), -gap[gap < 0].sum()) > most:
         return False
-    return _levenshtein(a, b) <= most
+    return _levenshtein(a, b, most) <= most
 
 
-def _levenshtein(a: str, b: str) -> int:
-    """Bit-parallel distance (Myers 1999, Hyyro 2003), one long integer for a column."""
+def _levenshtein(a: str, b: str, most: int) -> int:
+    """Bit-parallel distance (Myers 1999, Hyyro 2003), one long integer for a column; some number over ``most`` where it is over that."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
+    plus, minus, score, hope = full, 0, len(a), len(a) - len(b)
     for c in b:
+        if hope > most:
+            return hope
         eq = at.get(c, 0)
         d0 = (((eq & plus) + plus) ^ plus) | eq | minus
         hp = minus | (full & ~(d0 | plus))
         hn = d0 & plus
-        score += bool(hp & top) - bool(hn & top)
+        step = bool(hp & top) - bool(hn & top)
+        score += step
+        hope += step + 1  # the distance falls by one at most with each character left
         hp = (hp << 1 | 1) & full
         hn = (hn << 1) & full
         plus = hn | (full & ~(d0 | hp))
@@ -301,6 +305,37 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return distance_within(a, b, int((1 - similarity) * longer + 1e-9))
 
 
+#: Counters of a line's three-character runs.
+GRAMS = 1024
+
+
+class _Grams:
+    """Counted three-character runs of lines, made when a line is first asked for.
+
+    An edit takes at most three runs from either line, so two lines that share fewer are refuted
+    without comparing them.  Runs of one counter and counts over 255 only make more seem shared.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.rows = texts, np.zeros((len(texts), GRAMS), np.uint8)
+        self.sums = np.full(len(texts), -1, np.int64)
+
+    def _make(self, i: int) -> None:
+        code = np.frombuffer(self.texts[i].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if len(code) > 2:
+            runs = _mixed((code[:-2] << np.uint64(42)) + (code[1:-1] << np.uint64(21)) + code[2:])
+            self.rows[i] = np.minimum(np.bincount((runs % np.uint64(GRAMS)).astype(np.int64), minlength=GRAMS), 255)
+        self.sums[i] = self.rows[i].sum(dtype=np.int64)
+
+    def may(self, x: int, places: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether line ``x`` may be within ``most`` edits of each of ``places``."""
+        for i in (x, *places[self.sums[places] < 0].tolist()):
+            if self.sums[i] < 0:
+                self._make(i)
+        shared = np.minimum(self.rows[places], self.rows[x]).sum(1, dtype=np.int64)
+        return np.maximum(self.sums[places], self.sums[x]) - shared <= 3 * most
+
+
 @dataclasses.dataclass
 class _Facts:
     """Arrays that tell which of some lines may be similar: fingerprints of runs and of words (each with a mask) and sizes."""
@@ -342,27 +377,34 @@ def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarr
     Where the lines are those of the key ``shared``, a pair is compared if that is the least key both have, so once over all keys.
     """
     a, b = [], []
-    rest, front = facts.central_first(), []
+    rest, front, grams = facts.central_first(), [], _Grams(texts)
 
-    def reach(places: np.ndarray) -> None:
+    def reach(at: list[int]) -> None:
         nonlocal rest
-        known = np.unique(labels[places])
-        more = np.isin(rest, places) | np.isin(labels[rest], known[known >= 0])
+        more = np.zeros(len(rest), bool)
+        more[at] = True
+        known = labels[rest[at]]
+        if (known >= 0).any():
+            more |= np.isin(labels[rest], known[known >= 0])
         front.extend(rest[more].tolist())
         rest = rest[~more]
 
     while len(rest):
-        reach(rest[:1])
+        reach([0])
         while front and len(rest):
             x = front.pop()
-            near = facts.near(rest, facts, x, bits, similarity).tolist()
+            near = facts.near(rest, facts, x, bits, similarity)
+            if len(near) > 1:
+                most = ((1 - similarity) * np.maximum(facts.sizes[rest[near]], facts.sizes[x]) + 1e-9).astype(np.int64)
+                near = near[grams.may(x, rest[near], most)]
+            near = near.tolist()
             if keys is not None:
                 near = [k for k in near if min(keys[x] & keys[rest[k]], default=None) == shared]
             got = [k for k in near if similar(texts[x], texts[rest[k]], similarity)]
             if got:
                 a += [ids[x]] * len(got)
                 b += ids[rest[got]].tolist()
-                reach(rest[got])
+                reach(got)
         front = []
     return np.array(a, np.int64), np.array(b, np.int64)
 

@@ -217,3 +217,19 @@ def test_variant_keys_meet():
             y ^= 1 << b
         keys = simhash.variant_keys(np.array([x, y], np.uint64))
         assert (keys[0] == keys[1]).any()
+
+
+def test_shared_runs_refute_no_similar_line():
+    rng = random.Random(12)
+    texts = ["", "a", "ab"]
+    for _ in range(40):
+        a = "".join(rng.choice("abcde é漢🙂") for _ in range(rng.randint(0, 300)))
+        texts += [a, "".join(rng.choice("abcde é漢🙂") + c if rng.random() < 0.1 else "" if rng.random() < 0.05 else c for c in a), a * 6]
+    grams, refuted = line_dedup._Grams(texts), 0
+    places = np.arange(len(texts))
+    for x in range(len(texts)):
+        most = np.array([int(0.2 * max(len(texts[x]), len(t)) + 1e-9) for t in texts])
+        for y, may in enumerate(grams.may(x, places, most).tolist()):
+            refuted += not may
+            assert may or not line_dedup.similar(texts[x], texts[y])
+    assert refuted > 1000
