@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tasks for each core where a join makes many pairs of few rows.
+SPREAD = 4
+
 
 def semi_join(left: DataFrame, right: DataFrame, on: Column | Sequence[str]) -> DataFrame:
     return left.join(right, on, "left_semi")
@@ -42,13 +47,20 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     return placed.join(listed, ["__level", "__bin"]).filter(F.col(value).between(F.col(low), F.col(high))).drop("__level", "__bin")
 
 
-def disjunctive_join(left: DataFrame, right: DataFrame, alternatives: Sequence[Sequence[tuple[str, str]]], left_id: Sequence[str], right_id: Sequence[str]) -> DataFrame:
-    """Join on the OR of equality alternatives, each pair once: a union of equality joins instead of a nested loop."""
-    made = None
+def disjunctive_join(left: DataFrame, right: DataFrame, alternatives: Sequence[Sequence[tuple[str, str]]]) -> DataFrame:
+    """Join on the OR of equality alternatives, each pair of rows once: a union of equality joins instead of a nested loop.
+
+    An alternative passes over the pairs that an earlier one holds, so nothing has to be
+    deduplicated: pairs can be many more than rows.  For the same reason the rows of ``left`` are dealt over all cores first.
+    """
+    left = left.repartition(SPREAD * left.sparkSession.sparkContext.defaultParallelism)
+    made, earlier = None, F.lit(False)
     for keys in alternatives:
-        part = left.join(right, [left[a] == right[b] for a, b in keys])
+        holds = functools.reduce(operator.and_, [left[a] == right[b] for a, b in keys])
+        part = left.join(right, holds & ~earlier)
         made = part if made is None else made.unionByName(part)
-    return made.dropDuplicates([*left_id, *right_id])
+        earlier = earlier | F.coalesce(holds, F.lit(False))
+    return made
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str]) -> DataFrame:

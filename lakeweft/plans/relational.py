@@ -88,7 +88,7 @@ def _range_join(spark, d):
 def _disjunctive(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    got = joins.disjunctive_join(c, s, [[("c_custkey", "s_suppkey")], [("c_nationkey", "s_nationkey")]], ["c_custkey"], ["s_suppkey"])
+    got = joins.disjunctive_join(c, s, [[("c_custkey", "s_suppkey")], [("c_nationkey", "s_nationkey")]])
     return got.select("c_custkey", "s_suppkey")
 
 

@@ -42,6 +42,17 @@ def test_null_safe_and_salted_joins(spark):
     assert joins.salted_join(big, small, "k", 7).count() == 1000
 
 
+def test_disjunctive_join_is_the_nested_loop_without_deduplication(spark):
+    rows = [(1, 1), (1, 1), (2, None), (None, 3), (4, 1), (None, None)]
+    a, b = spark.createDataFrame(rows, "a int, b int"), spark.createDataFrame([*rows, (1, 9)], "c int, d int")
+    got = joins.disjunctive_join(a, b, [[("a", "c")], [("b", "d")], [("a", "d"), ("b", "c")]])
+    a.createOrReplaceTempView("dj_a")
+    b.createOrReplaceTempView("dj_b")
+    want = spark.sql("select * from dj_a join dj_b on a = c or b = d or (a = d and b = c)")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_recset_laws(spark):
     t = spark.range(100).withColumn("x", F.when(F.col("id") % 3 != 0, F.col("id")))
     a, b = recset.RecordSet(t, "x > 40"), recset.RecordSet(t, "x < 60")
