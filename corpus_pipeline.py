@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweft.llm import line_dedup, packing, quality_classifier, secrets, simhash
-from lakeweft.llm.common import written
+from lakeweft.llm.common import drop_written, written
 from lakeweft.llm.queries import vocabulary
 
 
@@ -62,6 +62,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if k:
+            drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import begin_task, free_name, keeps, map_texts, written
+from lakeweft.llm.common import begin_task, drop_written, free_name, keeps, map_texts, scratch, written
 from lakeweft.llm.components import components, contract
 from lakeweft.llm.simhash import links
 
@@ -35,6 +35,8 @@ WORDS_FROM, CHARS_UNDER = 8, 13
 #: MinHash values in a key, for runs and for word pairs, and keys of a sketch.
 RUN_ROWS, PAIR_ROWS, BANDS = 3, 2, 12
 TOGETHER, LEADERS = 256, 8
+#: Bands whose keys are shuffled at once; their shuffle files go before the next ones come.
+BANDS_AT_ONCE = 4
 
 
 #: An odd base of the rolling sum, its inverse modulo 2**64, and the constants of the splitmix64 mixer.
@@ -202,6 +204,8 @@ def sketched_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.bincount(text_of, minlength=len(texts)), wanted - begins[text_of], hashes, chars, (places[order], fps[order], keys[order])
 
 
+#: Bytes kept of a key in a table; keys that are equal in them by chance only make more candidates.
+KEY_BYTES = 4
 LINES = "l array<struct<line:int,h1:long,h2:long,size:int,fp:long,other:long,keys:binary>>"
 
 
@@ -214,33 +218,43 @@ def _lines(texts: list[str]) -> dict:
     two = each == 2
     signed = fps.view(np.int64)
     other = pa.array(signed[np.minimum(first + 1, max(0, len(fps) - 1))] if len(fps) else signed, mask=~two)
-    packed = pa.Array.from_buffers(pa.binary(), len(hashes), [None, pa.py_buffer(np.r_[0, np.cumsum(each * BANDS * 8)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
+    packed = pa.Array.from_buffers(pa.binary(), len(hashes), [None, pa.py_buffer(np.r_[0, np.cumsum(each * BANDS * KEY_BYTES)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray((keys >> 32).astype(np.int32)))])
     h1, h2 = (pa.array(np.ascontiguousarray(hashes[:, k]).view(np.int64)) for k in (0, 1))
     columns = [pa.array(numbers.astype(np.int32)), h1, h2, pa.array(sizes.astype(np.int32)), pa.array(signed[first]), other, packed]
     return {"l": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["line", "h1", "h2", "size", "fp", "other", "keys"]))}
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, size) of each key of (size, fp, other, keys)."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
-        two = b.column("other").is_valid().to_numpy(zero_copy_only=False)
-        of = np.repeat(np.arange(b.num_rows), np.where(two, 2, 1))
-        second = np.r_[False, of[1:] == of[:-1]]
-        fp = np.where(second, b.column("other").fill_null(0).to_numpy(zero_copy_only=False)[of], b.column("fp").to_numpy(zero_copy_only=False)[of])
-        columns = [keys, np.repeat(fp, BANDS), np.repeat(b.column("size").to_numpy(zero_copy_only=False)[of], BANDS)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "size"])
+def _unpacked(packed: bytes) -> np.ndarray:
+    """The keys of one or more sketches: a band's number above the bytes kept of its key."""
+    short = np.frombuffer(packed, np.uint32).astype(np.int64).reshape(-1, BANDS)
+    return (short | np.arange(BANDS, dtype=np.int64) << 32).ravel()
+
+
+def _keyed(bands: range):
+    """(key, fp, size) of each key of (size, fp, other, keys) in the given bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = _unpacked(b"".join(b.column("keys").to_pylist())).reshape(-1, BANDS)[:, bands.start : bands.stop].ravel()
+            two = b.column("other").is_valid().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(b.num_rows), np.where(two, 2, 1))
+            second = np.r_[False, of[1:] == of[:-1]]
+            fp = np.where(second, b.column("other").fill_null(0).to_numpy(zero_copy_only=False)[of], b.column("fp").to_numpy(zero_copy_only=False)[of])
+            columns = [keys, np.repeat(fp, len(bands)), np.repeat(b.column("size").to_numpy(zero_copy_only=False)[of], len(bands))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "size"])
+
+    return run
 
 
 def _keyed_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, shared, keys): a row for each key of (id, keys), with all keys of the line."""
     for b in batches:
         keys = b.column("keys").to_pylist()
-        each = np.array([len(k) // 8 for k in keys], np.int64)
+        each = np.array([len(k) // KEY_BYTES for k in keys], np.int64)
         of = pa.array(np.repeat(np.arange(b.num_rows), each))
-        yield pa.RecordBatch.from_arrays([b.column("id").take(of), pa.array(np.frombuffer(b"".join(keys), np.int64)), b.column("keys").take(of)], ["line", "shared", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("id").take(of), pa.array(_unpacked(b"".join(keys))), b.column("keys").take(of)], ["line", "shared", "keys"])
 
 
 def normalised(line: str) -> str:
@@ -425,7 +439,7 @@ def _verifier(bits: int, similarity: float):
             ids, fps, others, texts, labels, shared, packed = group
             if len(ids) > 1:
                 known = {x: k for k, x in enumerate(sorted({x for x in labels if x is not None}))}
-                keys = None if shared[0] is None else [frozenset(np.frombuffer(x, np.int64).tolist()) for x in packed]
+                keys = None if shared[0] is None else [frozenset(_unpacked(x).tolist()) for x in packed]
                 found.append(_verified(np.array(ids, np.int64), _Facts.of(fps, others, texts), texts, np.array([known.get(x, -1) for x in labels], np.int64), bits, similarity, keys, shared[0]))
 
         for b in batches:
@@ -531,9 +545,13 @@ def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: fl
 
 def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """(id, root) for the lines that link to another; ``distinct`` has (id, size, fp, other, keys, row, row2, line), sketches and the place of one occurrence."""
-    each = distinct.select("size", "fp", "other", "keys").mapInArrow(_keyed, "key long, fp long, size int")
+    sketches, found = distinct.select("size", "fp", "other", "keys"), None
+    for first in range(0, BANDS, BANDS_AT_ONCE):
+        each = sketches.mapInArrow(_keyed(range(first, min(BANDS, first + BANDS_AT_ONCE))), "key long, fp long, size int")
+        part = links(each, bits, share=similarity)
+        found = part if found is None else found.unionAll(part)
     both = distinct.where("other is not null").select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    near = components(links(each, bits, share=similarity).unionAll(both))
+    near = components(found.unionAll(both))
     of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
     keys = distinct.select("id", "keys").mapInArrow(_keyed_whole, "line long, shared long, keys binary")
     distinct = distinct.select("id", "fp", "other", "row", "row2", "line")
@@ -568,8 +586,11 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILA
     place = F.struct("doc_id", "row", "row2", "line")
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ("size", "fp", "other", "keys")))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
-    roots = fuzzy_groups(docs, distinct.select("id", "size", "fp", "other", "keys", "first.row", "first.row2", "first.line"), bits, similarity, together)
-    roots = written(roots.unionAll(roots.select(F.col("root").alias("id"), "root")).distinct().withColumnRenamed("id", "node"), "line-roots")
+    sketched, lines = lines, written(lines.select("doc_id", "row", "row2", "line", "h1", "h2"), "line-hashes")
+    drop_written(sketched)
+    with scratch() as keep:
+        roots = fuzzy_groups(docs, distinct.select("id", "size", "fp", "other", "keys", "first.row", "first.row2", "first.line"), bits, similarity, together)
+        roots = keep(written(roots.unionAll(roots.select(F.col("root").alias("id"), "root")).distinct().withColumnRenamed("id", "node"), "line-roots"))
     places = distinct.select("id", "h1", "h2", "first", (F.col("first") != F.col("last")).alias("again"))
     shared = places.join(_sized(roots), F.col("id") == F.col("node"), "left").where("root is not null or again").select("h1", "h2", F.coalesce("root", "id").alias("root"), "first")
     shared = written(shared, "shared-lines")
@@ -593,7 +614,8 @@ def line_dedup(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY
     """
     names = docs.columns
     row, row2, drop = (free_name(x, names) for x in ("row", "other", "drop"))
-    drops = written(repeated_lines(docs, bits, similarity, together).withColumnsRenamed({"row": row, "row2": row2, "drop": drop}), "dropped-lines")
+    with scratch() as keep:
+        drops = keep(written(repeated_lines(docs, bits, similarity, together).withColumnsRenamed({"row": row, "row2": row2, "drop": drop}), "dropped-lines"))
     entries = drops.agg(F.coalesce(F.sum(F.size(drop) + 4), F.lit(0))).first()[0] // 4
     joined = docs.select("*", *_row((row, row2))).join(_sized(drops, entries), [row, row2], "left")
 

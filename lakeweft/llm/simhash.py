@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import begin_task, free_name, map_texts, written
+from lakeweft.llm.common import begin_task, free_name, map_texts, scratch, written
 from lakeweft.llm.components import components, contract
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -291,10 +291,13 @@ def keep_one(docs: DataFrame, bits: int = 4, words_each: int = 4) -> DataFrame:
     names = docs.columns
     component, mark = free_name("component", names), free_name("mark", names)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.where("doc_id is not null").withColumn(mark, F.xxhash64("doc_id", text))
+    digest = free_name("digest", names)
+    keyed = docs.where("doc_id is not null").withColumns({mark: F.xxhash64("doc_id", text), digest: F.sha2(text, 256)})
     named = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64("doc_id", text).alias("mark"), F.sha2(text, 256).alias("digest")).alias("doc_id"), "text")
     # components over (id, text) pairs: the smallest pair has the smallest id, then the least text by hash
-    chosen = near_duplicates(named, bits, words_each).where("doc_id = component_id").select("doc_id.*").distinct()
-    stays = written(chosen.select(F.col("doc_id").alias(component), F.col("mark").alias(mark), "digest"), "kept-documents")
-    joined = keyed.join(stays, (keyed["doc_id"] == stays[component]) & (keyed[mark] == stays[mark]) & (F.sha2(text, 256) == stays["digest"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", mark]).select(*names).unionAll(docs.where("doc_id is null"))
+    with scratch() as keep:
+        chosen = near_duplicates(named, bits, words_each).where("doc_id = component_id").select("doc_id.*").distinct()
+        stays = keep(written(chosen.select(F.col("doc_id").alias(component), F.col("mark").alias("of_mark"), F.col("digest").alias("of_digest")), "kept-documents"))
+    # repeated rows meet where the join has put them, so texts are shuffled once
+    joined = keyed.join(stays, [keyed["doc_id"] == stays[component], keyed[mark] == stays["of_mark"], keyed[digest] == stays["of_digest"]], "left_semi")
+    return joined.dropDuplicates(["doc_id", mark, digest]).select(*names).unionAll(docs.where("doc_id is null"))

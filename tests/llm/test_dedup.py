@@ -233,3 +233,38 @@ def test_shared_runs_refute_no_similar_line():
             refuted += not may
             assert may or not line_dedup.similar(texts[x], texts[y])
     assert refuted > 1000
+
+
+def left_behind(spark, run):
+    """Labels of the tables that ``run`` leaves in the shared folder."""
+    from pathlib import Path
+
+    from lakeweft.llm import common
+
+    shared = Path(common.shared_folder(spark).removeprefix("file:")) / "lakeweft"
+    before = set(shared.iterdir()) if shared.exists() else set()
+    run()
+    return sorted(p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before)
+
+
+def test_dedup_deletes_its_tables(spark):
+    frame = spark.createDataFrame(fixtures.corpus(40), "doc_id bigint, text string")
+    assert left_behind(spark, lambda: line_dedup.line_dedup(frame, together=4).count()) == ["dropped-lines"]
+    assert left_behind(spark, lambda: simhash.keep_one(frame).count()) == ["kept-documents"]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from lakeweft.llm.common import SHUFFLE_CLEANUP, written
+
+    frame, status = spark.range(1000).repartition(7, "id"), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before, held = spark.conf.get(SHUFFLE_CLEANUP), status.size()
+    assert written(frame, "shuffled").count() == 1000
+    assert status.size() <= held + 1  # that of the count
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
+
+
+def test_packed_keys_tell_bands_apart():
+    keys = np.arange(2 * line_dedup.BANDS, dtype=np.uint32) % 3
+    got = line_dedup._unpacked(keys.tobytes())
+    assert len(got) == len(keys) and (got & 0xFFFFFFFF).tolist() == keys.tolist()
+    assert (got >> 32).tolist() == [*range(line_dedup.BANDS)] * 2
