@@ -304,3 +304,31 @@ def test_pages_table_is_the_articles(spark):
         inner = raw[r["page_id"]].split("<article>", 1)[1].rsplit("</article>", 1)[0]
         blocks = (" ".join(h.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)[^>]*>", inner))
         assert r["text"] == " ".join(b for b in blocks if b)
+
+
+def test_pages_beyond_the_representatives_tell_the_region(spark):
+    def made(i, words):
+        return f"<main><p>Part {i} of main, with some words.</p></main><article><h1>T{i}</h1><p>{f'word{i} ' * words}</p></article>"
+
+    digested = spark.createDataFrame([(made(i, n), n) for i in range(400) for n in (1, 60)], "html string, n int").selectExpr("*", "xxhash64(html) as d").orderBy("d").collect()
+    few = [r for r in digested if r["n"] == 1][:20]
+    pages = [r["html"] for r in few] + [r["html"] for r in digested if r["n"] == 60 and r["d"] > few[-1]["d"]][:40]
+    reps = [r["html"] for r in html_extract.representatives(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()]
+    assert len(reps) == html_extract.REPRESENTATIVES and html_extract.host_facts([html_extract.wrapper_of(p) for p in reps]).level == 2
+    frame = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = [r["text"] for r in html_extract.extract(frame).collect()]
+    assert len(got) == 60 and all(t.startswith("T") for t in got)
+
+
+def test_regions_beyond_alignment_are_told_by_their_place():
+    page = "<article>" + "".join(f"<p class=c{i}>text {i}</p>" for i in range(30)) + "</article>"
+    keys, texts = html_extract.read(page)
+    whole = html_extract.wrapper_of("<article>" + "".join(f"<h2 id=i{i}>head {i}</h2>" for i in range(30)) + "</article>")
+    near = html_extract.regions(keys, texts, whole)
+    html_extract.ALIGNED_PAIRS, before = 10, html_extract.ALIGNED_PAIRS
+    try:
+        far = html_extract.regions(keys, texts, whole)
+    finally:
+        html_extract.ALIGNED_PAIRS = before
+    assert sum(r[2] for r in near) == sum(r[2] for r in far) == sum(len(f"text {i}") for i in range(30))
+    assert all(r[0] < 0 for r in far) and len(far) == 30
