@@ -2,13 +2,15 @@
 
 Document features go into one linear score.  The weights are learned from preference pairs
 (a document labelled 1 over one labelled 0) by the logistic loss on feature differences,
-P(a preferred to b) = sigmoid(w . (x_a - x_b)), with Newton steps and an L2 penalty.  The
-cut between accepted and rejected is a quantile of the scores of the labelled rows: the
+P(a preferred to b) = sigmoid(w . (x_a - x_b)), with Newton steps and an L2 penalty, over all
+pairs of all labelled rows.  The cut between accepted and rejected is a quantile of the scores of the labelled rows: the
 share of label 0 among them.  The score given out is a sigmoid that puts this cut at
 ``THRESHOLD``.
 
-The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hash of their id, so
-what reaches the driver is bounded: SAMPLE x the number of features.
+Pairs are not listed: what a row adds to the loss's slope depends on its own score and on how
+the other label's scores lie, which a grid of counts and sums tells (each score is split between the two
+nearest points, ``STEP`` apart).  So each Newton step is two passes over a written table of
+features, and what reaches the driver is bounded by the grid and the number of features.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import dataclasses
 import math
 import operator
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,10 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweft.llm import textstats as ts
-from lakeweft.llm.common import begin_task, bounded, map_texts
-
-SAMPLE = 20_000
-PAIRS_EACH = 6
+from lakeweft.llm.common import begin_task, bounded, map_texts, scratch, written
+
+#: Distance of the grid's points in units of the score, and the most points to either side of zero.
+STEP, POINTS = 1 / 32, 4096
+#: Tasks of a pass over the features, each of which sends one row to the driver.
+TASKS = 64
+#: Labels are broadcast up to this many; beyond it documents and labels are joined in a shuffle.
+BROADCAST_LABELS = 500_000
+#: So many scores or fewer are sorted by the driver.
+SORTED = 20_000
 THRESHOLD = 0.7
 PENALTY = 1e-3
 HELD_OUT = 2
@@ -87,40 +96,139 @@ class Model:
     cut: float
     spread: float
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((widened(x) - self.mean) / self.scale, -8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((widened(x) - self.mean) / self.scale, -8, 8) @ self.weights
+        return self.scaled(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = (self.raw(x) - self.cut) / self.spread + math.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, seed: int = 0) -> Model:
-    """Bradley-Terry weights and the cut.  Without both labels every text scores alike."""
-    wide = widened(x)
-    mean = wide.mean(0) if len(x) else np.zeros(2 * len(FEATURES))
-    scale = np.maximum(wide.std(0), 1e-6) if len(x) else np.ones(2 * len(FEATURES))
-    z = np.clip((wide - mean) / scale, -8, 8)
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    w = np.zeros(z.shape[1])
-    if not len(good) or not len(bad):
-        return Model(mean, scale, w, 0.0 if len(good) or not len(x) else 1.0, 1.0)
-    rng = np.random.default_rng(seed)
-    many = max(len(good), len(bad)) * PAIRS_EACH
-    diff = z[rng.choice(good, many)] - z[rng.choice(bad, many)]
+def _summed(rows: DataFrame, part) -> list[np.ndarray]:
+    """The sums over all rows (label, x) of the arrays that ``part(x, label)`` gives for a batch."""
+
+    def run(batches):
+        begin_task(__name__)
+        held = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+                made = part(x, b.column("label").to_numpy(zero_copy_only=False))
+                held = made if held is None else [p + q for p, q in zip(held, made, strict=True)]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([[zlib.compress(np.ascontiguousarray(h, float).tobytes(), 1) for h in held]], pa.list_(pa.binary()))], ["sums"])
+
+    got = None
+    for r in rows.select("label", "x").coalesce(TASKS).mapInArrow(run, "sums array<binary>").collect():  # TASKS rows; most of a grid is empty
+        parts = [np.frombuffer(zlib.decompress(v)) for v in r["sums"]]
+        got = parts if got is None else [p + q for p, q in zip(got, parts, strict=True)]
+    return got or []
+
+
+def _placed(s: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each score the grid point under it and the share that goes to the next one."""
+    at = np.clip(s / step + POINTS, 0, 2 * POINTS - 1e-6)
+    low = at.astype(np.int64)
+    return low, at - low
+
+
+def _grid(model: Model, step: float):
+    """Per label and grid point the number of rows and the sums of their features."""
+
+    def part(x: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+        z = model.scaled(x)
+        low, share = _placed(z @ model.weights, step)
+        out = np.zeros((2, 2 * POINTS + 1, z.shape[1] + 1))
+        whole = np.hstack([np.ones((len(z), 1)), z])
+        for k in (0, 1):
+            own = label == k
+            np.add.at(out[k], low[own], whole[own] * (1 - share[own])[:, None])
+            np.add.at(out[k], low[own] + 1, whole[own] * share[own][:, None])
+        return [out.ravel()]
+
+    return part
+
+
+def _curved(model: Model, step: float, curve: np.ndarray):
+    """The sum of the outer products of the rows' features, weighted by ``curve`` (label, grid point) at their scores."""
+
+    def part(x: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+        z = model.scaled(x)
+        low, share = _placed(z @ model.weights, step)
+        v = curve[label, low] * (1 - share) + curve[label, low + 1] * share
+        return [((z * v[:, None]).T @ z).ravel()]
+
+    return part
+
+
+def _of_rank(scores: DataFrame, rank: int) -> float:
+    """The score of that rank (from 0) among all of (raw), by counts in ever narrower cells."""
+    low, high, n = scores.agg(F.min("raw"), F.max("raw"), F.count("*")).first()
+    while low < high:
+        inside = scores.where(F.col("raw").between(low, high))
+        if n <= SORTED:
+            return sorted(r["raw"] for r in inside.collect())[rank]
+        cell = F.floor((F.col("raw") - low) / max((high - low) / 4096, 5e-324)).alias("cell")
+        for r in inside.groupBy(cell).agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high")).orderBy("cell").collect():
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        if (low, high) == (r["low"], r["high"]):
+            break  # neighbouring numbers
+        low, high, n = r["low"], r["high"], r["n"]
+    return low
+
+
+def fit(rows: DataFrame) -> Model:
+    """Bradley-Terry weights over all pairs of the rows (label, x) of both labels, and the cut.  Without both labels every text scores alike."""
+    width = 2 * len(FEATURES)
+
+    def moments(x: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+        wide = widened(x)
+        return [np.array([(label == 0).sum(), (label == 1).sum()], float), wide.sum(0)]
+
+    sums = _summed(rows, moments)
+    bad, good = (int(k) for k in sums[0]) if sums else (0, 0)
+    mean = sums[1] / (bad + good) if sums else np.zeros(width)
+    scale = np.maximum(np.sqrt(_summed(rows, lambda x, _: [((widened(x) - mean) ** 2).sum(0)])[0] / (bad + good)), 1e-6) if sums else np.ones(width)
+    model = Model(mean, scale, np.zeros(width), 0.0 if good or not bad else 1.0, 1.0)
+    if not good or not bad:
+        return model
+    pairs = float(good) * bad
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -500, 500)))
-        slope = diff.T @ (p - 1) / many + PENALTY * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / many + PENALTY * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
+        w = model.weights
+        step = max(STEP, 8 * float(np.abs(w).sum()) / POINTS)
+        grid = _summed(rows, _grid(model, step))[0].reshape(2, 2 * POINTS + 1, width + 1)
+        used = [np.flatnonzero(grid[k, :, 0]) for k in (0, 1)]
+        curve, slope, cross = np.zeros((2, 2 * POINTS + 1)), PENALTY * w, np.zeros((width, width))
+        worse = grid[0, used[0]]
+        for at in range(0, len(used[1]), 256):  # a block of grid points of label 1 against all of label 0
+            mine = used[1][at : at + 256]
+            better = grid[1, mine]
+            p = 1 / (1 + np.exp(-np.clip(step * (mine[:, None] - used[0][None, :]), -500, 500)))
+            v = p * (1 - p)
+            slope = slope + (((p - 1) @ worse[:, 0]) @ better[:, 1:] - (better[:, 0] @ (p - 1)) @ worse[:, 1:]) / pairs
+            curve[1, mine] = v @ worse[:, 0]
+            curve[0, used[0]] += better[:, 0] @ v
+            cross += better[:, 1:].T @ v @ worse[:, 1:]
+        own = _summed(rows, _curved(model, step, curve / pairs))[0].reshape(width, width)
+        move = np.linalg.solve(own - (cross + cross.T) / pairs + PENALTY * np.eye(width), slope)
+        model = dataclasses.replace(model, weights=w - move)
+        if np.abs(move).max() < 1e-6:
             break
-    raw = z @ w
-    order = np.sort(raw)
-    k = len(bad)  # the quantile: the share of label 0
-    cut = float((order[k - 1] + order[min(k, len(order) - 1)]) / 2)
-    return Model(mean, scale, w, cut, float(max(np.std(raw), 1e-6) / 2))
+
+    def scored(batches):
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x))], ["raw"])
+
+    scores = written(rows.select("x").mapInArrow(scored, "raw double"), "labelled-scores")
+    # the quantile: the share of label 0
+    cut = (_of_rank(scores, bad - 1) + _of_rank(scores, bad)) / 2
+    return dataclasses.replace(model, cut=cut, spread=max(scores.agg(F.stddev_pop("raw")).first()[0], 1e-6) / 2)
 
 
 def _remainder(column: str = "doc_id"):
@@ -134,18 +242,17 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_texts(docs, run, "x array<double>", keep)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows whose remainder isn't HELD_OUT.
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on all labelled rows whose remainder isn't HELD_OUT.
 
     Rows with a null id or a label other than 0 and 1 teach nothing; an id labelled in
     several rows takes its smallest label.
     """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(_remainder() != HELD_OUT)
-    one = usable.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` ids: a proven bound for the broadcast
-    rows = measured(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id"), ["doc_id", "label"]).orderBy("doc_id").limit(2 * sample).collect()
-    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return fit(x, np.array([r["label"] for r in rows], int))
+    with scratch():
+        one = written(usable.groupBy("doc_id").agg(F.min("label").alias("label")), "labels")
+        joined = docs.select("doc_id", "text").join(F.broadcast(one) if one.count() <= BROADCAST_LABELS else one, "doc_id")
+        return fit(written(measured(joined, ["label"]), "labelled-features"))
 
 
 def quality_scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -332,3 +332,26 @@ def test_regions_beyond_alignment_are_told_by_their_place():
         html_extract.ALIGNED_PAIRS = before
     assert sum(r[2] for r in near) == sum(r[2] for r in far) == sum(len(f"text {i}") for i in range(30))
     assert all(r[0] < 0 for r in far) and len(far) == 30
+
+
+def test_fit_is_that_of_all_pairs_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    n, wide = 160, len(quality_classifier.FEATURES)
+    label = (rng.random(n) < 0.6).astype(int)
+    x = rng.random((n, wide)) + 0.3 * label[:, None] * (np.arange(wide) < 3)
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(label, x, strict=True)], "label int, x array<double>").repartition(3)
+    model = quality_classifier.fit(rows)
+    z = model.scaled(x)
+    diff = (z[label == 1][:, None, :] - z[label == 0][None, :, :]).reshape(-1, z.shape[1])
+    slope = diff.T @ (1 / (1 + np.exp(-diff @ model.weights)) - 1) / len(diff) + quality_classifier.PENALTY * model.weights
+    assert np.abs(slope).max() < 1e-4 and np.abs(model.weights).max() > 0.1
+    order, bad = np.sort(model.raw(x)), int((label == 0).sum())
+    assert model.cut == pytest.approx((order[bad - 1] + order[bad]) / 2)
+    assert np.allclose(model.mean, quality_classifier.widened(x).mean(0)) and np.allclose(model.scale, np.maximum(quality_classifier.widened(x).std(0), 1e-6))
+
+
+def test_rank_is_found_by_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "SORTED", 3)
+    values = [0.0] * 50 + [1e-9 * k for k in range(40)] + [5.0, 1e6]
+    scores = spark.createDataFrame([(v,) for v in values], "raw double")
+    assert [quality_classifier._of_rank(scores, k) for k in (10, 60, 90, 91)] == [sorted(values)[k] for k in (10, 60, 90, 91)]
