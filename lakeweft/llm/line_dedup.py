@@ -8,33 +8,35 @@ their fingerprints are at most ``BITS`` bits apart, and linked if their edit sim
 1 - Levenshtein / longer length, is at least ``SIMILARITY``.  One occurrence of each connected
 group stays, the one of the smallest (doc_id, line).  Blank lines always stay.
 
-Edit similarity is verified only inside groups that candidates connect, and there only
-from a line to those not reached yet, so no group's pairs are all listed.  A group of more than
-``TOGETHER`` lines is first held against a few leaders; only lines that no chain through leaders
-connects are then compared with one another, where they share a key, in pairs of blocks by as many tasks.
+Each candidate pair is compared by itself, many at once, so false candidates never join lines into
+groups that grow faster than the input.  Keys travel as packed arrays, one for each task and part.  The lines of a
+key are compared pair by pair up to ``TOGETHER`` of them; those of a more common key are first held
+against ``LEADERS`` central lines, then against the ``LEADERS`` nearest lines no link connects them with, and at last all
+pairs of them that are still unconnected are compared, in pairs of blocks by as many tasks, so no link is lost.
 """
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweft.llm.common import begin_task, drop_written, free_name, keeps, map_texts, scratch, written
+from lakeweft.llm.common import begin_task, free_name, keeps, map_texts, scratch, written
 from lakeweft.llm.components import components, contract
-from lakeweft.llm.simhash import links
 
 BITS, SIMILARITY = 20, 0.8
 #: Lines of fewer than CHARS_UNDER words are sketched by four-byte runs, lines of WORDS_FROM words or more by words; between, by both.
 WORDS_FROM, CHARS_UNDER = 8, 13
 #: MinHash values in a key, for runs and for word pairs, and keys of a sketch.
 RUN_ROWS, PAIR_ROWS, BANDS = 3, 2, 12
-TOGETHER, LEADERS = 256, 8
+#: Lines of a key of which all pairs are listed, and lines that those of a more common key are first held against.
+TOGETHER, LEADERS = 16, 8
+#: Lines of a key that one task compares with one another; beyond it pairs of blocks are dealt out.
+BLOCK = 4096
 #: Bands whose keys are shuffled at once; their shuffle files go before the next ones come.
 BANDS_AT_ONCE = 4
 
@@ -230,37 +232,192 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return (short | np.arange(BANDS, dtype=np.int64) << 32).ravel()
 
 
-def _keyed(bands: range):
-    """(key, fp, size) of each key of (size, fp, other, keys) in the given bands."""
+#: What a bucket holds of a line: four bytes of the key, size, hash and fingerprint.
+ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("h", "<i8"), ("fp", "<u8")])
+#: Entries that a task packs at once, and packed rows of a shuffle partition from each.
+PACKED, PARTS_EACH = 1 << 19, 4
+
+
+def _dealt(bands: range, parts: int):
+    """(part, entries): packed entries of (h1, size, fp, other, keys) for the given bands; all of one key share a part, each band has ``parts``."""
+
+    def packed(keys: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        part = (keys % np.uint32(parts) + np.arange(len(bands), dtype=np.uint32) * np.uint32(parts)).ravel()
+        order = np.argsort(part, kind="stable")
+        out = np.repeat(rest, len(bands))
+        out["key"] = keys.ravel()
+        out, part = out[order], part[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        blobs = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(out.view(np.uint8))])
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), blobs], ["part", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
+        held, n = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = _unpacked(b"".join(b.column("keys").to_pylist())).reshape(-1, BANDS)[:, bands.start : bands.stop].ravel()
+            keys = _unpacked(b"".join(b.column("keys").to_pylist())).reshape(-1, BANDS)[:, bands.start : bands.stop].astype(np.uint32)
             two = b.column("other").is_valid().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(b.num_rows), np.where(two, 2, 1))
             second = np.r_[False, of[1:] == of[:-1]]
+            rest = np.zeros(len(of), ENTRY)
             fp = np.where(second, b.column("other").fill_null(0).to_numpy(zero_copy_only=False)[of], b.column("fp").to_numpy(zero_copy_only=False)[of])
-            columns = [keys, np.repeat(fp, len(bands)), np.repeat(b.column("size").to_numpy(zero_copy_only=False)[of], len(bands))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "size"])
+            rest["fp"], rest["h"], rest["size"] = fp.view(np.uint64), b.column("h1").to_numpy()[of], b.column("size").to_numpy()[of]
+            held.append((keys, rest))
+            n += keys.size
+            if n >= PACKED:
+                yield packed(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+                held, n = [], 0
+        if held:
+            yield packed(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+
+    return run
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, bits: int, similarity: float) -> np.ndarray:
+    """Whether entries, or those of one shape broadcast to another, are near enough to be candidates."""
+    least = np.minimum(x["size"], y["size"]) >= similarity * np.maximum(x["size"], y["size"]) - 1e-9
+    return least & (np.bitwise_count(x["fp"] ^ y["fp"]) <= bits) & (x["h"] != y["h"])
+
+
+def _paired(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (u, v), u < v, of the given ones."""
+    both = [np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1)]
+    u, v = np.minimum(*both), np.maximum(*both)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
+    return u[new], v[new]
+
+
+def _bucket_pairs(e: np.ndarray, bits: int, similarity: float, together: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(pairs, entries of keys that more than ``together`` lines have) of whole buckets."""
+    e = e[np.argsort(e["key"])]
+    same = e["key"][1:] == e["key"][:-1]
+    e = e[np.r_[False, same] | np.r_[same, False]] if len(e) else e
+    e = e[np.lexsort((e["fp"], e["h"], e["key"]))]
+    e = e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["h"][1:] != e["h"][:-1]) | (e["fp"][1:] != e["fp"][:-1])][: len(e)]]  # exact repeats
+    begins = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]][: len(e)])
+    sizes = np.diff(np.r_[begins, len(e)])
+    left = np.repeat(begins + sizes, sizes) - np.arange(len(e)) - 1  # lines of the key that follow
+    few, out = np.repeat(sizes <= together, sizes), []
+    i, off = np.flatnonzero(few & (left > 0)), 1
+    while len(i):
+        near = i[_may_link(e[i], e[i + off], bits, similarity)]
+        out.append((e["h"][near], e["h"][near + off]))
+        off += 1
+        i = i[left[i] >= off]
+    for s, n in zip(begins[sizes > together].tolist(), sizes[sizes > together].tolist(), strict=True):
+        run = e[s : s + n]
+        middle = _simhashes(_bit_counts(run["fp"].copy(), np.array([n])), np.array([n]))
+        rest = run[np.argsort(np.bitwise_count(run["fp"] ^ middle), kind="stable")]  # an original is nearer to the middle than its variants
+        for _ in range(LEADERS):
+            if len(rest) < 2:
+                break
+            near = _may_link(rest[1:], rest[0], bits, similarity)
+            out.append((np.full(int(near.sum()), rest["h"][0]), rest["h"][1:][near]))
+            rest = rest[1:][~near]
+    return out, e[~few]
+
+
+PAIRS = "u long, v long, key long, size int"
+PAIR_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("size", pa.int32())])
+
+
+def _bucketed(bits: int, similarity: float, together: int, first_band: int, parts: int):
+    """Candidate pairs (u, v, null, null) of (part, entries); a line of a common key passes as (h, fp, key, size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("entries").to_pylist(), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(blob, ENTRY))
+        found = []
+        for part in sorted(held):
+            pairs, common = _bucket_pairs(np.concatenate(held.pop(part)), bits, similarity, together)
+            found += pairs
+            if len(common):
+                key = common["key"].astype(np.int64) | first_band + part // parts << 32
+                yield pa.RecordBatch.from_arrays([pa.array(common["h"]), pa.array(common["fp"].view(np.int64)), pa.array(key), pa.array(common["size"].astype(np.int32))], schema=PAIR_SCHEMA)
+        u, v = _paired(found)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int32())], schema=PAIR_SCHEMA)
 
     return run
 
 
-def _keyed_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(line, shared, keys): a row for each key of (id, keys), with all keys of the line."""
-    for b in batches:
-        keys = b.column("keys").to_pylist()
-        each = np.array([len(k) // KEY_BYTES for k in keys], np.int64)
-        of = pa.array(np.repeat(np.arange(b.num_rows), each))
-        yield pa.RecordBatch.from_arrays([b.column("id").take(of), pa.array(_unpacked(b"".join(keys))), b.column("keys").take(of)], ["line", "shared", "keys"])
+#: Comparisons of fingerprints made at once.
+AT_ONCE = 1 << 20
+
+
+def _unlinked_pairs(run: np.ndarray, label: np.ndarray, bits: int, similarity: float, nearest: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of different labels among the lines of a key; of each line with the ``nearest`` such lines alone if given."""
+    names, kind, count = np.unique(label, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    order = np.argsort(kind == np.argmax(count), kind="stable")  # lines of the commonest label last: they meet the others alone
+    run, kind = run[order], kind[order]
+    others, step, out = len(run) - int(count.max()), max(1, AT_ONCE // len(run)), []
+    for s in range(0, others, step):
+        part = slice(s, min(others, s + step))
+        near = _may_link(run[part, None], run[None, :], bits, similarity) & (kind[part, None] != kind[None, :])
+        if nearest is not None:
+            far = np.where(near, np.bitwise_count(run["fp"][part, None] ^ run["fp"][None, :]), 255)
+            if far.shape[1] > nearest:
+                some = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
+                only = np.zeros_like(near)
+                np.put_along_axis(only, some, True, axis=1)
+                near &= only
+        x, y = np.nonzero(near)
+        out.append((run["h"][x + s], run["h"][y]))
+    return out
+
+
+def _unlinked(bits: int, similarity: float, nearest: int | None):
+    """Candidate pairs (u, v) that no link connects, from sorted rows (key, h, fp, size, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
+        held, last, found = [], None, []
+
+        def close() -> None:
+            if held:
+                e, label, known = (np.concatenate([x[k] for x in held]) for k in (0, 1, 2))
+                label[~known] = np.arange(len(e))[~known]
+                names = np.unique(np.stack([label, known], 1), axis=0, return_inverse=True)[1].ravel()
+                found.extend(_unlinked_pairs(e, names, bits, similarity, nearest))
+                held.clear()
+
+        for b in batches:
+            key = b.column("key").to_numpy()
+            e = np.zeros(b.num_rows, ENTRY)
+            e["h"], e["fp"], e["size"] = b.column("h").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("size").to_numpy()
+            known, label = b.column("label").is_valid().to_numpy(zero_copy_only=False), b.column("label").fill_null(0).to_numpy(zero_copy_only=False).copy()
+            cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)]), len(key)]
+            for s, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if key[s] != last:
+                    close()
+                    last = key[s]
+                held.append((e[s:t], label[s:t], known[s:t]))
+        close()
+        u, v = _paired(found)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
 
 
 def normalised(line: str) -> str:
     return b" ".join(line.lower().encode("utf-8", "replace").split()).decode()
 
 
+def _word_for_word(a: str, b: str) -> float:
+    """Edits that make each word the other line's, infinite for unequal numbers of words; never less than the distance."""
+    x, y = a.split(" "), b.split(" ")
+    return sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) if len(x) == len(y) else float("inf")
+
+
 def distance_within(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance is at most ``most``."""
     if a == b:
@@ -276,9 +433,8 @@ def distance_within(a: str, b: str, most: int) -> bool:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if max(len(a), len(b)) <= most:
         return True
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
-        return True  # word for word: never less than the distance
+    if _word_for_word(a, b) <= most:
+        return True
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -350,126 +506,126 @@ class _Grams:
         return np.maximum(self.sums[places], self.sums[x]) - shared <= 3 * most
 
 
-@dataclasses.dataclass
-class _Facts:
-    """Arrays that tell which of some lines may be similar: fingerprints of runs and of words (each with a mask) and sizes."""
-
-    runs: np.ndarray
-    words: np.ndarray
-    has_runs: np.ndarray
-    has_words: np.ndarray
-    sizes: np.ndarray
-
-    @classmethod
-    def of(cls, fps: list[int], others: list[int | None], texts: list[str]) -> _Facts:
-        few = np.array([t.count(" ") + 1 < CHARS_UNDER for t in texts], bool)
-        first = np.array(fps, np.int64).view(np.uint64)
-        second = np.array([x or 0 for x in others], np.int64).view(np.uint64)
-        return cls(first, np.where(few, second, first), few, ~few | np.array([x is not None for x in others], bool), np.array([len(t) for t in texts], np.int64))
-
-    def central_first(self) -> np.ndarray:
-        """All places, those nearest to the majority of the fingerprints first: an original before its variants."""
-        fp = np.where(self.has_words, self.words, self.runs)
-        if len(fp) < 3:
-            return np.arange(len(fp))
-        middle = _simhashes(_bit_counts(fp, np.array([len(fp)])), np.array([len(fp)]))
-        return np.argsort(np.bitwise_count(fp ^ middle), kind="stable")
-
-    def near(self, rest: np.ndarray, other: _Facts, x: int, bits: int, similarity: float) -> np.ndarray:
-        """Places in ``rest`` (places here) of the lines that may be similar to line ``x`` of ``other``."""
-        longer = np.maximum(self.sizes[rest], other.sizes[x])
-        alike = longer - np.minimum(self.sizes[rest], other.sizes[x]) <= (1 - similarity) * longer + 1e-9
-        runs = self.has_runs[rest] & other.has_runs[x] & (np.bitwise_count(self.runs[rest] ^ other.runs[x]) <= bits)
-        words = self.has_words[rest] & other.has_words[x] & (np.bitwise_count(self.words[rest] ^ other.words[x]) <= bits)
-        return np.flatnonzero(alike & (runs | words))
-
-
-def _verified(ids: np.ndarray, facts: _Facts, texts: list[str], labels: np.ndarray, bits: int, similarity: float, keys: list[frozenset] | None = None, shared: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected among the given lines, found by search from one to the unreached.
-
-    Lines of one label from 0 on are known to be connected and are not compared with one another.
-    Where the lines are those of the key ``shared``, a pair is compared if that is the least key both have, so once over all keys.
-    """
-    a, b = [], []
-    rest, front, grams = facts.central_first(), [], _Grams(texts)
-
-    def reach(at: list[int]) -> None:
-        nonlocal rest
-        more = np.zeros(len(rest), bool)
-        more[at] = True
-        known = labels[rest[at]]
-        if (known >= 0).any():
-            more |= np.isin(labels[rest], known[known >= 0])
-        front.extend(rest[more].tolist())
-        rest = rest[~more]
-
-    while len(rest):
-        reach([0])
-        while front and len(rest):
-            x = front.pop()
-            near = facts.near(rest, facts, x, bits, similarity)
-            if len(near) > 1:
-                most = ((1 - similarity) * np.maximum(facts.sizes[rest[near]], facts.sizes[x]) + 1e-9).astype(np.int64)
-                near = near[grams.may(x, rest[near], most)]
-            near = near.tolist()
-            if keys is not None:
-                near = [k for k in near if min(keys[x] & keys[rest[k]], default=None) == shared]
-            got = [k for k in near if similar(texts[x], texts[rest[k]], similarity)]
-            if got:
-                a += [ids[x]] * len(got)
-                b += ids[rest[got]].tolist()
-                reach(got)
-        front = []
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-COLUMNS = ("id", "fp", "other", "text", "label", "shared", "keys")
-
-
-def _verifier(bits: int, similarity: float):
-    """Links within each run of equal keys of (key, id, fp, other, text, label, shared, keys)."""
+#: Longest line compared many at once; steps between two looks at which pairs are decided; cells of a table of characters.
+LONGEST, LOOK, TABLE = 4096, 32, 1 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task(__name__)
-        found: list = []
-        group, last = tuple([] for _ in COLUMNS), None
 
-        def close():
-            ids, fps, others, texts, labels, shared, packed = group
-            if len(ids) > 1:
-                known = {x: k for k, x in enumerate(sorted({x for x in labels if x is not None}))}
-                keys = None if shared[0] is None else [frozenset(_unpacked(x).tolist()) for x in packed]
-                found.append(_verified(np.array(ids, np.int64), _Facts.of(fps, others, texts), texts, np.array([known.get(x, -1) for x in labels], np.int64), bits, similarity, keys, shared[0]))
+def _padded(codes: np.ndarray, at: np.ndarray, step: int, width: int, last: int) -> np.ndarray:
+    return codes[np.clip(at[:, None] + step * np.arange(width), 0, last)]
 
-        for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", *COLUMNS)), strict=True):
-                if key != last:
-                    close()
-                    group, last = tuple([] for _ in COLUMNS), key
-                for part, x in zip(group, row, strict=True):
-                    part.append(x)
-        close()
-        if found:
-            x, y = contract(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=LINKS)
 
-    return run
+def _distances_within(patterns: list[np.ndarray], texts: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Whether the Levenshtein distance of each pattern and text, not shorter, is at most ``most``.
+
+    ``_levenshtein`` for many pairs at once: the 64-bit words of all columns stand in one array, each a text
+    character behind the word before it, whose carry it takes.  A pair whose distance must be over ``most`` goes early.
+    """
+    m, n = np.array([len(p) for p in patterns]), np.array([len(t) for t in texts])
+    words = -(-m // 64)
+    start, total = np.cumsum(words) - words, int(words.sum())
+    pair = np.repeat(np.arange(len(m)), words)
+    late = np.arange(total) - start[pair]
+    flat, of = np.concatenate(patterns), np.repeat(np.arange(len(m)), m)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(m) - m, m)
+    known, rank = np.unique(flat, return_inverse=True)
+    table = np.zeros((len(known) + 1) * total, np.uint64)  # at last: a character of no pattern
+    np.add.at(table, rank * total + start[of] + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+    flat = np.concatenate(texts)
+    rank = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    rows = np.where(known[rank] == flat, rank, len(known)) * total
+    at = (np.cumsum(n) - n)[pair] - late
+    one, high, full = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    out, live, column = np.zeros(len(m), bool), np.arange(len(m)), np.arange(total)
+    plus, minus, up, down = np.full(total, full), np.zeros(total, np.uint64), np.zeros(total, np.uint64), np.zeros(total, np.uint64)
+    lead, top, bit, score, left = late == 0, start + words - 1, ((m - 1) % 64).astype(np.uint64), m.copy(), n + words - 1
+    skew, widest = words - 1, int(words.max())
+    for t in range(int(left.max())):
+        eq = table.take(rows.take(at, mode="clip") + column)
+        at += 1
+        up[1:], down[1:] = up[:-1].copy(), down[:-1].copy()
+        up[lead], down[lead] = one, 0
+        xv = eq | minus
+        eq |= down
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        hp, hn = minus | ~(xh | plus), plus & xh
+        score += np.where(skew <= t, (hp[top] >> bit & one).astype(np.int64) - (hn[top] >> bit & one).astype(np.int64), 0)
+        one_up, one_down = hp << one | up, hn << one | down
+        up, down = hp >> high, hn >> high
+        plus, minus = one_down | ~(xv | one_up), one_up & xv
+        if t < widest - 1:  # words whose text has not begun
+            still = late > t
+            plus[still], minus[still], up[still], down[still] = full, 0, 0, 0
+        ended = left == t + 1
+        if ended.any():
+            out[live[ended]] = score[ended] <= most[live[ended]]
+        if t % LOOK == LOOK - 1:
+            on = (left > t + 1) & (score - (left - t - 1) <= most[live])  # the distance falls by one at most with each character left
+            if not on.any():
+                break
+            if 4 * int(on.sum()) < 3 * len(on):
+                stay = on[np.repeat(np.arange(len(on)), words)]
+                plus, minus, up, down, at, column, late, lead = (x[stay] for x in (plus, minus, up, down, at, column, late, lead))
+                live, words, bit, score, left, skew = (x[on] for x in (live, words, bit, score, left, skew))
+                top = np.cumsum(words) - 1
+    return out
+
 
+def similar_rows(a: list[str], b: list[str], similarity: float = SIMILARITY) -> np.ndarray:
+    """``similar`` of each line of ``a`` and that of ``b``, many pairs at once."""
+    sizes = np.array([[len(x) for x in a], [len(x) for x in b]], np.int64).reshape(2, -1)
+    most = ((1 - similarity) * sizes.max(0) + 1e-9).astype(np.int64)
+    out = np.zeros(len(a), bool)
+    todo = np.abs(sizes[0] - sizes[1]) <= most
+    long = np.flatnonzero(todo & (sizes.max(0) > LONGEST))
+    for k in long.tolist():
+        grams = _Grams([a[k], b[k]])
+        out[k] = grams.may(0, np.array([1]), most[k : k + 1])[0] and similar(a[k], b[k], similarity)
+    todo[long] = False
+    order = np.flatnonzero(todo)
+    order = order[np.argsort(sizes.max(0)[order], kind="stable")]
+    while len(order):
+        width = int(sizes.max(0)[order[min(len(order), 4096) - 1]])
+        now, order = order[:4096], order[4096:]
+        some = [[side[k] for k in now.tolist()] for side in (a, b)]
+        codes = [np.frombuffer("".join(x).encode("utf-32-le"), np.uint32) for x in some]
+        size = sizes[:, now]
+        at = np.cumsum(size, axis=1) - size
+        less = size.min(0)
+        if not all(map(len, codes)):
+            out[now] = size.max(0) <= most[now]
+            continue
+        spots = np.arange(width)
+        alike = lambda begin, step: np.argmin(np.c_[(_padded(codes[0], begin[0], step, width, len(codes[0]) - 1) == _padded(codes[1], begin[1], step, width, len(codes[1]) - 1)) & (spots < less[:, None]), np.zeros(len(now), bool)], axis=1)  # noqa: E731, B023
+        head = alike(at, 1)
+        tail = np.minimum(alike(at + size - 1, -1), less - head)
+        left = size - head - tail
+        out[now] = left.max(0) <= most[now]
+        hard = np.flatnonzero(~out[now] & (left.min(0) > 0))
+        easy = np.array([_word_for_word(some[0][k], some[1][k]) <= most[now[k]] for k in hard.tolist()], bool)
+        out[now[hard[easy]]] = True
+        hard = hard[~easy]
+        first = np.argmin(left[:, hard], axis=0)
+        cut = lambda side, k: codes[side][at[side, k] + head[k] : at[side, k] + head[k] + left[side, k]]  # noqa: E731, B023
+        words = np.cumsum(-(-left.min(0)[hard] // 64))
+        for part in np.split(np.arange(len(hard)), np.flatnonzero(np.diff(words // max(1, TABLE // (1 + len(np.unique(codes[0])))))) + 1):
+            some = hard[part].tolist()
+            if len(some) < 8:
+                out[now[some]] = [similar(a[k], b[k], similarity) for k in now[some].tolist()]
+                continue
+            side = first[part].tolist()
+            out[now[some]] = _distances_within([cut(i, k) for i, k in zip(side, some, strict=True)], [cut(1 - i, k) for i, k in zip(side, some, strict=True)], most[now[some]])
+    return out
 
-def _follower(bits: int, similarity: float):
-    """The leaders that reach each row of (root, id, fp, other, text, leaders); a leader reaches itself."""
-    names = ["root", "id", "fp", "other", "text"]
+
+def _verifier(similarity: float):
+    """Links (u, v) of the rows (u, v, a, b) whose texts are similar, contracted to stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
         for b in batches:
-            ids, fps, others, texts, leaders = (b.column(c).to_pylist() for c in ("id", "fp", "other", "text", "leaders"))
-            facts, out = _Facts.of(fps, others, texts), []
-            for i, (own, text, chosen) in enumerate(zip(ids, texts, leaders, strict=True)):
-                known = _Facts.of(*([x[c] for x in chosen] for c in ("fp", "other", "text")))
-                near = set(known.near(np.arange(len(chosen)), facts, i, bits, similarity).tolist())
-                out.append([x["id"] for k, x in enumerate(chosen) if x["id"] == own or k in near and similar(text, x["text"], similarity)])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.list_(pa.int64()))], [*names, "by"])
+            yes = similar_rows(b.column("a").to_pylist(), b.column("b").to_pylist(), similarity)
+            x, y = contract(b.column("u").to_numpy()[yes], b.column("v").to_numpy()[yes])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["u", "v"])
 
     return run
 
@@ -489,8 +645,8 @@ def _row(names: tuple[str, str] = ("row", "row2")) -> list:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, fp, other, root, text): the normalised lines of ``wanted`` (row, row2, line, id, fp, other, root), read from their documents."""
-    by_row = written(wanted.groupBy("row", "row2").agg(F.collect_list(F.struct("line", "id", "fp", "other", "root")).alias("w")), "wanted-lines")
+    """(id, h, text): the normalised lines of ``wanted`` (row, row2, line, id, h), read from their documents."""
+    by_row = written(wanted.groupBy("row", "row2").agg(F.collect_list(F.struct("line", "id", "h")).alias("w")), "wanted-lines")
     entries = by_row.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
     joined = docs.select(*_row(), "text").join(_sized(by_row, entries), ["row", "row2"]).select("text", "w")
 
@@ -499,81 +655,71 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for t, w in zip(b.column("text").to_pylist(), b.column("w").to_pylist(), strict=True):
                 lines = (t or "").split("\n")
-                rows += [(x["id"], x["fp"], x["other"], x["root"], normalised(lines[x["line"]])) for x in w]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((*[pa.int64()] * 4, pa.string()))], ["id", "fp", "other", "root", "text"])
+                rows += [(x["id"], x["h"], normalised(lines[x["line"]])) for x in w]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["id", "h", "text"])
+
+    return joined.mapInArrow(run, "id long, h long, text string").dropDuplicates(["id"])
+
+
+def _similar_pairs(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(links (u, v) by id, names (id, h)) of the written candidate ``pairs`` (u, v) by hash; every pair is compared."""
+    ends = written(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "paired-lines")
+    wanted = distinct.join(_sized(ends), distinct["h1"] == ends["h"], "left_semi").select("row", "row2", "line", "id", F.col("h1").alias("h"))
+    texts = written(_texts_of(docs, wanted), "line-texts")
+    one, other = (texts.select(F.col("h").alias(e), F.col("id").alias(f"{e}_id"), F.col("text").alias(t)) for e, t in (("u", "a"), ("v", "b")))
+    both = pairs.join(one, "u").join(other, "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), "a", "b")
+    return written(both.mapInArrow(_verifier(similarity), "u long, v long"), "similar-lines"), texts.select("id", "h")
+
+
+#: Links that one task contracts at once (16 bytes each); beyond it the distributed steps do.
+LINKS_AT_ONCE = 1_000_000
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """``components`` of written ``links``, without its steps where their counted number allows."""
+    if links.count() > LINKS_AT_ONCE:
+        return components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in contract(*(np.concatenate([f[k] for f in found]) for k in (0, 1)))], ["node", "root"])
 
-    return joined.mapInArrow(run, "id long, fp long, other long, root long, text string").dropDuplicates(["id"])
+    return written(links.coalesce(1).mapInArrow(run, "node long, root long"), "line-components")
 
 
-def _links_of_large(large: DataFrame, keys: DataFrame, bits: int, similarity: float, together: int) -> tuple[DataFrame, DataFrame]:
-    """(links, blocks to verify) of groups of more than ``together`` lines (root, id, fp, other, text).
+def fuzzy_groups(docs: DataFrame, lines: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """(id, root) for the lines that link to another.
 
-    Every line is held against LEADERS lines of its group, which takes rows of the group's size.
-    Lines that share leaders are connected; a label tells them.  Lines of different labels, and
-    those no leader reached, still have to be compared where they share a key of ``keys``
-    (line, shared, keys), so no link is lost: in pairs of blocks of the lines of a key.
+    ``lines`` has the sketches (h1, size, fp, other, keys), repeats included; ``distinct`` (id, h1, row, row2, line) the place of one occurrence.
     """
-    middle = F.lit(0).cast("long")
-    for k in range(64):  # the bits that most fingerprints of a group have: an original is nearer to them than its variants
-        middle = middle.bitwiseOR(F.when(2 * F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))) > F.count("*"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    middles = written(large.groupBy(F.col("root").alias("of")).agg(middle.alias("middle")), "middles")
-    ranked = large.join(middles, large["root"] == middles["of"]).withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))))
-    spread = Window.partitionBy("root").orderBy("far", F.xxhash64("id"), "id")
-    some = ranked.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= LEADERS)
-    leaders = written(some.groupBy(F.col("root").alias("of")).agg(F.collect_list(F.struct("id", "fp", "other", "text")).alias("leaders")), "leaders")
-    seen = written(large.join(leaders, large["root"] == leaders["of"]).drop("of").mapInArrow(_follower(bits, similarity), "root long, id long, fp long, other long, text string, by array<long>"), "followers")
-    first = seen.select(F.explode("by").alias("u"), F.col("id").alias("v")).where("u <> v")
-    met = written(components(seen.where("size(by) > 1").select(F.col("by")[0].alias("u"), F.explode(F.slice("by", 2, LEADERS)).alias("v"))).select("node", F.col("root").alias("chief")), "leaders-met")
-    named = seen.withColumn("leader", F.get("by", F.lit(0))).join(_sized(met), F.col("leader") == F.col("node"), "left")
-    members = written(named.select("root", "id", "fp", "other", "text", F.coalesce("chief", "leader").alias("label")), "labelled-lines")
-    # a group of one label is done
-    kinds = members.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.when(F.col("label").isNull(), 1)).alias("loose"))
-    undone = written(kinds.where("loose > 0 or low <> high").select(F.col("root").alias("of")), "undone-groups")
-    members = members.join(_sized(undone), F.col("root") == F.col("of"), "left_semi")
-    members = written(members.join(keys, members["id"] == keys["line"]).select(F.xxhash64("root", "shared").alias("g"), *COLUMNS), "keyed-lines")
-    sizes = members.groupBy(F.col("g").alias("of"), "label").agg(F.ceil(F.count("*") / F.lit(together)).cast("int").alias("n"), F.count("*").alias("lines"))
-    # at most LEADERS + 1 labels a key
-    labels = written(sizes.groupBy("of").agg(F.collect_list(F.struct("label", "n")).alias("l"), F.sum("lines").alias("lines")).where("lines > 1 and (size(l) > 1 or l[0].label is null)").drop("lines"), "labels")
-    sized = members.join(labels, F.col("g") == F.col("of"))
-    spell = lambda label, block: F.concat_ws(":", F.coalesce(label.cast("string"), F.lit("-")), block)
-    own = F.filter("l", lambda x: x["label"].eqNullSafe(F.col("label")))[0]["n"]
-    others = F.filter("l", lambda x: x["label"].isNull() | ~x["label"].eqNullSafe(F.col("label")))
-    sized = sized.withColumn("mine", spell(F.col("label"), F.pmod(F.xxhash64("id"), own)))
-    dealt = sized.withColumn("facing", F.explode(others)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("facing.n") - 1))).withColumn("theirs", spell(F.col("facing.label"), F.col("k")))
-    return first, dealt.select(F.xxhash64("g", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), *COLUMNS)
-
-
-def fuzzy_groups(docs: DataFrame, distinct: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """(id, root) for the lines that link to another; ``distinct`` has (id, size, fp, other, keys, row, row2, line), sketches and the place of one occurrence."""
-    sketches, found = distinct.select("size", "fp", "other", "keys"), None
+    parts = -(-PARTS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BANDS_AT_ONCE)
+    sketches, found = lines.select("h1", "size", "fp", "other", "keys"), None
     for first in range(0, BANDS, BANDS_AT_ONCE):
-        each = sketches.mapInArrow(_keyed(range(first, min(BANDS, first + BANDS_AT_ONCE))), "key long, fp long, size int")
-        part = links(each, bits, share=similarity)
+        packed = sketches.mapInArrow(_dealt(range(first, min(BANDS, first + BANDS_AT_ONCE)), parts), "part int, entries binary")
+        part = written(packed.repartition("part").mapInArrow(_bucketed(bits, similarity, together, first, parts), PAIRS), "bucket-pairs")
         found = part if found is None else found.unionAll(part)
-    both = distinct.where("other is not null").select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    near = components(found.unionAll(both))
-    of_fp = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
-    keys = distinct.select("id", "keys").mapInArrow(_keyed_whole, "line long, shared long, keys binary")
-    distinct = distinct.select("id", "fp", "other", "row", "row2", "line")
-    # lines of one fingerprint (the same words in another order) are a group, too
-    same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root"))
-    of_fp = written(of_fp.unionAll(same.join(of_fp, "node", "left_anti").select("node", "root")), "line-fps")
-    wanted = written(distinct.join(_sized(of_fp), distinct["fp"] == of_fp["node"]).select("row", "row2", "line", "id", "fp", "other", "root"), "line-places")
-    sizes = written(wanted.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "of").where("n > 1"), "line-groups")
-    kept = wanted.join(_sized(sizes), F.col("root") == F.col("of")).select("row", "row2", "line", "id", "fp", "other", "root", "n")
-    texts = written(_texts_of(docs, kept), "line-texts")
-    big, none = sizes.where(F.col("n") > together).select("of"), [F.lit(None).cast(kind).alias(c) for c, kind in (("label", "long"), ("shared", "long"), ("keys", "binary"))]
-    if big.isEmpty():
-        return _verified_groups(texts.select(F.col("root").alias("key"), "id", "fp", "other", "text", *none), bits, similarity, None)
-    big = written(big, "large-roots")
-    small = texts.join(_sized(big), F.col("root") == F.col("of"), "left_anti")
-    first, blocks = _links_of_large(texts.join(_sized(big), F.col("root") == F.col("of"), "left_semi"), keys, bits, similarity, together)
-    return _verified_groups(small.select(F.col("root").alias("key"), "id", "fp", "other", "text", *none).unionByName(blocks), bits, similarity, first)
-
-
-def _verified_groups(keyed: DataFrame, bits: int, similarity: float, more: DataFrame | None) -> DataFrame:
-    found = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_verifier(bits, similarity), "u long, v long")
-    return components(found if more is None else found.unionAll(more)).select(F.col("node").alias("id"), "root")
+    pairs = written(found.where("key is null").select("u", "v").distinct(), "line-pairs")
+    links, names = _similar_pairs(docs, distinct, pairs, similarity)
+    common = found.where("key is not null").select(F.col("u").alias("h"), F.col("v").alias("fp"), "key", "size")
+    if common.isEmpty():
+        return _groups(links).select(F.col("node").alias("id"), "root")
+    blocks = common.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = written(blocks.withColumnRenamed("key", "of"), "large-keys")
+    for nearest in (LEADERS, None):
+        near = _groups(links)
+        roots = near.unionAll(near.select(F.col("root").alias("node"), "root")).distinct()
+        labels = written(names.join(roots, F.col("id") == F.col("node")).select(F.col("h").alias("named"), F.col("root").alias("label")), "line-labels")
+        dealt = common.join(_sized(labels), F.col("h") == F.col("named"), "left").join(_sized(blocks), F.col("key") == F.col("of"), "left").select("key", "h", "fp", "size", "label", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("h"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # a hash collision only brings more lines together
+        key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        dealt = dealt.select(key.alias("key"), "h", "fp", "size", "label").repartition("key").sortWithinPartitions("key")
+        more = dealt.mapInArrow(_unlinked(bits, similarity, nearest), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
+        more = written(more, "line-pairs")
+        new, others = _similar_pairs(docs, distinct, more, similarity)
+        pairs, links, names = pairs.unionAll(more), links.unionAll(new), names.unionAll(others).distinct()
+    return _groups(links).select(F.col("node").alias("id"), "root")
 
 
 def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
@@ -584,12 +730,10 @@ def repeated_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILA
     keyed = docs.select("doc_id", *_row(), "text")
     lines = written(map_texts(keyed, _lines, LINES, ["doc_id", "row", "row2"]).select("doc_id", "row", "row2", F.inline("l")), "lines")
     place = F.struct("doc_id", "row", "row2", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.first(c).alias(c) for c in ("size", "fp", "other", "keys")))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
-    sketched, lines = lines, written(lines.select("doc_id", "row", "row2", "line", "h1", "h2"), "line-hashes")
-    drop_written(sketched)
     with scratch() as keep:
-        roots = fuzzy_groups(docs, distinct.select("id", "size", "fp", "other", "keys", "first.row", "first.row2", "first.line"), bits, similarity, together)
+        roots = fuzzy_groups(docs, lines, distinct.select("id", "h1", "first.row", "first.row2", "first.line"), bits, similarity, together)
         roots = keep(written(roots.unionAll(roots.select(F.col("root").alias("id"), "root")).distinct().withColumnRenamed("id", "node"), "line-roots"))
     places = distinct.select("id", "h1", "h2", "first", (F.col("first") != F.col("last")).alias("again"))
     shared = places.join(_sized(roots), F.col("id") == F.col("node"), "left").where("root is not null or again").select("h1", "h2", F.coalesce("root", "id").alias("root"), "first")

@@ -268,3 +268,29 @@ def test_packed_keys_tell_bands_apart():
     got = line_dedup._unpacked(keys.tobytes())
     assert len(got) == len(keys) and (got & 0xFFFFFFFF).tolist() == keys.tolist()
     assert (got >> 32).tolist() == [*range(line_dedup.BANDS)] * 2
+
+
+def test_many_pairs_at_once_are_as_similar_as_one_by_one():
+    rng = random.Random(4)
+    a, b = ["", "", "ab", "x" * 5000], ["", "a", "ba", "x" * 4000 + "y" * 1000]
+    for _ in range(400):
+        x = "".join(rng.choice("abcde é漢🙂") for _ in range(rng.choice((1, 5, 63, 64, 65, 130, 400))))
+        rate = rng.choice((0.02, 0.15, 0.25, 0.6))
+        a.append(x)
+        b.append("".join(rng.choice(("", c + "z", rng.choice("abcde é漢🙂"))) if rng.random() < rate else c for c in x))
+    got = line_dedup.similar_rows(a, b).tolist()
+    assert got == [line_dedup.similar(x, y) for x, y in zip(a, b, strict=True)] and 100 < sum(got) < 350
+
+
+def test_false_candidates_join_no_lines_into_a_group():
+    """A common key's lines in two groups, with near fingerprints: pairs within a group are linked once, those between are left."""
+    base = (1 << 64) - 1
+    entries = np.zeros(60, line_dedup.ENTRY)
+    entries["h"], entries["size"], entries["key"] = np.arange(60), 100, 7
+    entries["fp"] = [base ^ (1 << (k % 5)) ^ (k % 2 << 40) for k in range(60)]
+    pairs, common = line_dedup._bucket_pairs(entries, 20, 0.8, 16)
+    assert len(common) == 60 and sum(len(u) for u, _ in pairs) == 59  # not 60 * 59 / 2
+    label = np.arange(60) % 2
+    u, v = line_dedup._paired(line_dedup._unlinked_pairs(common, label[common["h"]], 20, 0.8, None))
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == sorted((min(x, y), max(x, y)) for x in range(0, 60, 2) for y in range(1, 60, 2))
+    assert line_dedup._unlinked_pairs(common, np.zeros(60, np.int64), 20, 0.8, None) == []
